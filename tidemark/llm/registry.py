@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, quality_cnn, toxicity
+from . import langid, mixing, quality_cnn, quality_rules, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op6_language_id": langid.op6_language_id,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op10_mixing": mixing.op10_mixing,
     "op8_quality": quality_cnn.op8_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": quality_rules.OP7_SQL,
+    "op10_mixing": mixing.OP10_SQL,
+}
