@@ -11,7 +11,8 @@ Decoding is a state machine over bytes: each token adds its bytes, characters co
 between two tokens is an unfinished character of up to three bytes.
 
 The normal form, the pattern of words and the special tokens are read from the tokenizer's file, whose path is a
-parameter; nothing is trained. Words that came lately are remembered, up to CACHE of them.
+parameter; nothing is trained. Words that came lately are remembered, up to CACHE of them. A word that is shorter
+than the stream's window ends before anything is stable, so it is solved at once, by the same two facts.
 
 Defined results: null and empty texts have no tokens; a special token's string in a text is that token, as the file
 says; a lone surrogate can't be in a Spark string.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-CACHE, CACHED_LENGTH = 150_000, 40
+CACHE, CACHED_LENGTH = 250_000, 40
 _NEVER = 1 << 60
 
 
@@ -152,8 +153,35 @@ class Bpe:
             n -= size
         return out[::-1]
 
+    def _whole(self, word: bytes) -> list[int]:
+        """Tokens of a word that ends before the stream would put any out: longest first, back when neighbours don't fit.
+
+        Each place is given up once at most, as the encoding up to it is the only one.
+        """
+        inner, final, known, n = self.inner, self.final, self._fits, len(word)
+        tokens, starts, dead, at, size = [], [], set(), 0, min(n, self.lookahead)
+        while at < n:
+            before = tokens[-1] if tokens else -1
+            while size:
+                end = at + size
+                token = inner.get(word[at:end]) if end < n else final.get(word[at:])
+                if token is not None and end not in dead and (before < 0 or (known.get((before, token)) if (before, token) in known else self.fits(before, token))):
+                    break
+                size -= 1
+            if size:
+                tokens.append(token)
+                starts.append(at)
+                at += size
+                size = min(n - at, self.lookahead)
+            else:
+                dead.add(at)
+                tokens.pop()
+                size, at = at - starts[-1] - 1, starts.pop()
+        return tokens
+
     def _word(self, word: str) -> bytes:
-        ids = list(self.stream(word.encode("utf-8", "replace")))
+        raw = word.encode("utf-8", "replace")
+        ids = self._whole(raw) if len(raw) < 4 * self.lookahead else list(self.stream(raw))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
