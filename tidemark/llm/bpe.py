@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-CACHE, CACHED_LENGTH = 250_000, 40
+CACHE, CACHED_LENGTH = 300_000, 40
 _NEVER = 1 << 60
 
 
@@ -77,6 +77,10 @@ class Bpe:
             self.made[c] = r, a, b
         #: Sufficient: every `lookahead` bytes a token ends.
         self.lookahead = max(len(raw) for raw, _ in self.bytes.values())
+        #: The longest token by its first three bytes; shorter tokens aside.
+        self._reach: dict[bytes, int] = {}
+        for raw, _ in self.bytes.values():
+            self._reach[raw[:3]] = max(len(raw), self._reach.get(raw[:3], 2))
         self._fits: dict[tuple[int, int], bool] = {}
         split = next(p["pattern"]["Regex"] for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         #: \s of the file's pattern language is Unicode's White_Space, which here leaves U+001C to U+001F out.
@@ -158,21 +162,25 @@ class Bpe:
 
         Each place is given up once at most, as the encoding up to it is the only one.
         """
-        inner, final, known, n = self.inner, self.final, self._fits, len(word)
-        tokens, starts, dead, at, size = [], [], set(), 0, min(n, self.lookahead)
+        inner, final, known, reach, n = self.inner, self.final, self._fits, self._reach, len(word)
+        tokens, starts, dead, at, size = [], [], set(), 0, min(n, reach.get(word[:3], 2))
         while at < n:
             before = tokens[-1] if tokens else -1
             while size:
                 end = at + size
                 token = inner.get(word[at:end]) if end < n else final.get(word[at:])
-                if token is not None and end not in dead and (before < 0 or (known.get((before, token)) if (before, token) in known else self.fits(before, token))):
-                    break
+                if token is not None and end not in dead:
+                    if before < 0:
+                        break
+                    good = known.get((before, token))
+                    if good or good is None and self.fits(before, token):
+                        break
                 size -= 1
             if size:
                 tokens.append(token)
                 starts.append(at)
                 at += size
-                size = min(n - at, self.lookahead)
+                size = min(n - at, reach.get(word[at : at + 3], 2))
             else:
                 dead.add(at)
                 tokens.pop()
@@ -186,7 +194,7 @@ class Bpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """A stretch without white space."""
-        return b"".join(self._seen[w] for w in self._words.findall(chunk))
+        return self._seen[chunk] if chunk.isalpha() else b"".join(map(self._seen.__getitem__, self._words.findall(chunk)))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

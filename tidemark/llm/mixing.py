@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_ROWS, RANGE_ROWS, MAX_SOURCES = 8, 50_000, 1000
+BLOCK_ROWS, RANGE_ROWS, MAX_SOURCES = 8, 5_000, 1000
 
 
 def parts_of(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality_cnn, quality_rules, toxicity
+from . import bpe, langid, mixing, pii, quality_cnn, quality_rules, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_bpe": bpe.op2_bpe,
+    "op3_pii": pii.op3_pii,
     "op6_language_id": langid.op6_language_id,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op10_mixing": mixing.op10_mixing,
