@@ -61,3 +61,12 @@ def keep_rows(rows: DataFrame, keep: Callable[[list[str | None]], list[bool]] ,
             yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.bool_()))
 
     return map_batches(rows, work, rows.schema)
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the cluster's shared checkpoint folder (a local one of our own only where none is set)."""
+    sc = rows.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        given = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(given or "spark-warehouse/checkpoints")
+    return rows.checkpoint(eager=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, pii, quality_cnn, quality_rules, toxicity
+from . import bpe, langid, minhash, mixing, pii, quality_cnn, quality_rules, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op6_language_id": langid.op6_language_id,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_minhash": minhash.op9_minhash,
     "op10_mixing": mixing.op10_mixing,
     "op8_quality": quality_cnn.op8_quality,
 }
 ORACLES: dict[str, str] = {
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "op9_minhash": minhash.op9_minhash,
     "op10_mixing": mixing.OP10_SQL,
 }
