@@ -41,10 +41,10 @@ def truncates(changes: DataFrame, memberships: DataFrame, sets: DataFrame) -> Da
 
 
 def of_rows(changes: DataFrame, filters: Sequence[Column | str], mode: str = "stream") -> DataFrame:
-    """Rows that the filters let pass: all of them on the stream, any of them in the first copy. Unknown is no."""
+    """Rows that the filters let pass: all of them on the stream, any of them in the first copy. Unknown is no, as everywhere in a WHERE."""
     if not filters:
         return changes
-    each = [F.coalesce(F.expr(f) if isinstance(f, str) else f, F.lit(False)) for f in filters]
+    each = [F.expr(f) if isinstance(f, str) else f for f in filters]
     return changes.where(reduce((lambda a, b: a & b) if mode == "stream" else (lambda a, b: a | b), each))
 
 

@@ -334,7 +334,7 @@ def transdiscard_split(spark, d):
     return errors.applied(_failing(spark, d), "transdiscard").select("commit_lsn", "op")
 
 
-@query(_FAIL_SQL + " SELECT commit_lsn, op FROM x WHERE xid < (SELECT min(xid) FROM x WHERE failed)")
+@query(_FAIL_SQL + " SELECT commit_lsn, op FROM x WHERE xid < (SELECT coalesce(min(xid), 1000000000000) FROM x WHERE failed)")
 def sub_disable_stop(spark, d):
     return errors.applied(_failing(spark, d), "sub_disable").select("commit_lsn", "op")
 
