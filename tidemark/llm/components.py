@@ -9,7 +9,7 @@ from . import common
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and root, the smallest node of its component, for each node in a link of two different nodes.
+    """node and root, the smallest node of its component, for each linked node that isn't itself the smallest.
 
     Each round hangs a node's larger neighbours, then its smaller ones, on the smallest it knows. The number of rounds
     grows with the logarithm of the longest path; each is a few joins and aggregations of at most as many rows as there

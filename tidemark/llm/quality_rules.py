@@ -25,7 +25,7 @@ SAMPLE_ROWS = 2000
 
 
 def _once(made: Column) -> Column:
-    """For arrays that lambdas look into: a filter that is pushed below would otherwise make them anew for each element.
+    """For what is used again and again above: a filter that is pushed below would otherwise make it anew each time.
 
     Spark moves no filter past an expression it takes for random; this one always holds.
     """
@@ -101,7 +101,11 @@ def order(docs: DataFrame, rules: Sequence[Rule] = RULES) -> list[Rule]:
 
 
 def cascade(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Adds failed_rule: the first of the rules, in the given order, that rejects the row; null if none does."""
+    """Adds failed_rule: the first of the rules, in the given order, that rejects the row; null if none does.
+
+    Write the result, or checkpoint it, before filtering by failed_rule: Spark would copy the whole chain of conditions
+    into the filter, once for each mention of a rule in the next.
+    """
     rows = rows.withColumn("failed_rule", F.lit(None).cast("string"))
     for rule in rules:
         rows = measure(rows, rule.needs, F.col("failed_rule").isNull())
