@@ -8,11 +8,12 @@ pairs, with s = 0.9 once in 3 million.
 
 Documents with the same set are one node, named after the smallest id, before anything else. In each table bucket every
 document is paired with the bucket's smallest id (its hub), so that a bucket gives no more pairs than it has rows.
-Links are confirmed on the full sets. Then two documents with a hub in common are compared if they are not yet in one
-component and nothing rules them out: the ratio of their sizes, the distances of both to the hub (1 - Jaccard
-similarity is a metric, so their own distance is at least the difference), or a sketch of 64 bits of the minima, which
-differ in more than MAX_BITS places once in a million pairs of similarity 0.8. So no candidate of the tables goes
-unexamined, whatever the size of a bucket.
+Links are confirmed on the full sets. Then documents with a hub in common that are not yet in one component are compared
+unless something rules it out: the ratio of their sizes, the distances of both to the hub (1 - Jaccard similarity is a
+metric, so their own distance is at least the difference), or sketches of four bits of 64 minima, which differ in more
+than MAX_DIFFERENT places less than once in 100,000 pairs of similarity 0.8. These comparisons happen inside cells of a bounded
+number of rows of a hub, so that no table of pairs arises; what comes out is one link for any two components that have
+one. So no candidate of the tables goes unexamined, whatever the size of a bucket.
 
 Defined results: null and empty texts, and those without words, have an empty set and link with nothing; a null id is
 never linked and keeps null as component. An id stands for one node, also when it comes with several texts.
@@ -24,18 +25,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 from .words import LOWER, mix, word_hashes
 
-M, ROWS, MAX_BITS, SEED = 12, 3, 22, 20
+M, ROWS, SEED, BROADCAST_IDS = 12, 3, 20, 500_000
+#: Minima in a sketch; how many may differ; rows of one hub that are compared in one place, by sketch and by set.
+SKETCH, MAX_DIFFERENT, BY_SKETCH, BY_SET = 64, 28, 4096, 512
 _RNG = np.random.default_rng(SEED)
 _MUL = _RNG.integers(0, 2**63, 2 * M * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, 2 * M * ROWS, dtype=np.uint64)
-_PLACE = mix(np.arange(1, 1 + max(M * M, 2 * M * ROWS), dtype=np.uint64))
+_PLACE = mix(np.arange(1, 1 + 2 * M, dtype=np.uint64))
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -59,19 +63,18 @@ def minima(h: np.ndarray) -> np.ndarray:
     return low
 
 
-def keys(low: np.ndarray) -> tuple[np.ndarray, int]:
-    """The M * M table keys, and the sketch of 64 bits."""
-    parts = low.reshape(2, M, ROWS)
-    h = np.zeros((2, M), np.uint64)
+def keys(low: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The keys of both collections, one after the other, and the sketch: four bits of each of 64 minima."""
+    parts = low.reshape(2 * M, ROWS)
+    h = _PLACE.copy()
     for r in range(ROWS):
-        h = mix(h * np.uint64(5) + parts[:, :, r])
-    tables = mix(h[0][:, None] * np.uint64(3) + h[1][None, :] + _PLACE[: M * M].reshape(M, M)).ravel()
-    bits = np.packbits((mix(low[:64]) & np.uint64(1)).astype(np.uint8))
-    return tables.view(np.int64), int.from_bytes(bits.tobytes(), "big", signed=True)
+        h = mix(h * np.uint64(5) + parts[:, r])
+    four = (mix(low[:SKETCH]) >> np.uint64(60)).astype(np.uint8)
+    return h.view(np.int64), four.tobytes()
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """id, n_shingles and, for non-empty sets, digest, keys and bits of every row."""
+    """id, n and, for non-empty sets, digest, keys and sketch of every row."""
 
     def work(batches):
         for b in batches:
@@ -83,20 +86,35 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 tables.append(k[0])
                 bits.append(k[1])
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(tables, pa.list_(pa.int64())), pa.array(bits, pa.int64())], names=["id", "n", "digest", "keys", "bits"])
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(tables, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "digest", "keys", "sketch"])
 
-    return common.map_batches(docs, work, "id bigint, n bigint, digest binary, keys array<bigint>, bits bigint")
+    return common.map_batches(docs, work, "id bigint, n bigint, digest binary, keys array<bigint>, sketch binary")
 
 
-def similarity(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) with the sizes of their sets' intersection and union, on the full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def table_keys() -> Column:
+    """Each key of the first collection with each of the second: both are part of a table key, and so are their places."""
+    first, second = F.slice("keys", 1, M), F.slice("keys", M + 1, M)
+    return F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x, y))))
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """The ids, to be sent to every executor if they are BROADCAST_IDS at most, which is checked here."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def with_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id and set of the documents with these ids."""
 
     def sets(batches):
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([shingles(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
-    own = common.map_batches(docs.join(wanted, "id", "left_semi").select("id", "text"), sets, "id bigint, set binary")
+    return common.map_batches(docs.join(few(ids), "id", "left_semi").select("id", "text"), sets, "id bigint, set binary")
+
+
+def similarity(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) with the sizes of their sets' intersection and union, on the full sets."""
+    own = with_sets(docs, pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), size)
     both = pairs.join(own.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(own.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
 
     def compare(batches):
@@ -113,16 +131,78 @@ def similarity(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return common.map_batches(both.select("a", "b", "set_a", "set_b"), compare, "a bigint, b bigint, both bigint, either bigint")
 
 
+def cells(spokes: DataFrame, size: int) -> DataFrame:
+    """Deals each hub's rows so that any two of them meet in a cell (hub, i, j) of about 2 * size rows."""
+    counts = spokes.groupBy("hub").agg(F.ceil(F.count("*") / size).alias("k"))
+    dealt = spokes.join(counts, "hub").withColumn("p", F.pmod(F.xxhash64("b", F.lit(9)), F.col("k"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+    return dealt.withColumn("i", F.least("p", "o")).withColumn("j", F.greatest("p", "o")).drop("k", "p", "o")
+
+
+def _pending(t: pa.Table, percent: int) -> np.ndarray:
+    """Row by column: which two rows of a cell are in different components and may be similar."""
+    root, n, lo, hi = (t.column(c).to_numpy() for c in ("root", "n", "lo", "hi"))
+    reach = 1 - percent / 100 + 1e-9
+    open_ = root[:, None] != root[None, :]
+    open_ &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    open_ &= (lo[:, None] - hi[None, :] <= reach) & (lo[None, :] - hi[:, None] <= reach)
+    return open_
+
+
+def still_open(spokes: DataFrame, percent: int) -> DataFrame:
+    """The rows that may be similar to another one with the same hub, as far as sizes, distances and sketches tell."""
+
+    def look(t: pa.Table) -> pa.Table:
+        open_ = _pending(t, percent)
+        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        keep = np.zeros(len(open_), bool)
+        for x in np.flatnonzero(open_.any(axis=1)):
+            other = np.flatnonzero(open_[x])
+            other = other[(sketches[other] != sketches[x]).sum(axis=1) <= MAX_DIFFERENT]
+            keep[other] = True
+            keep[x] |= len(other) > 0
+        return t.filter(pa.array(keep)).select(["hub", "b", "n", "root", "lo", "hi"])
+
+    return cells(spokes, BY_SKETCH).groupBy("hub", "i", "j").applyInArrow(look, "hub bigint, b bigint, n bigint, root bigint, lo double, hi double").distinct()
+
+
+def compared(spokes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that the rows of one hub give, on the full sets: one for any two components in a cell."""
+    own = with_sets(docs, spokes.select(F.col("b").alias("id")).distinct(), size)
+    met = cells(spokes, BY_SET).join(own.withColumnRenamed("id", "b"), "b")
+
+    def look(t: pa.Table) -> pa.Table:
+        open_ = _pending(t, percent)
+        b, root = t.column("b").to_numpy(), t.column("root").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        lengths = np.array([len(x) for x in sets])
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(lengths) - lengths
+        largest = np.bincount(np.unique(root, return_inverse=True)[1]).argmax()
+        small = np.unique(root, return_inverse=True)[1] != largest
+        links, mark = [], np.zeros(len(flat), bool)
+        for x in np.flatnonzero(open_.any(axis=1) & small):
+            mine = flat[starts[x] : starts[x] + lengths[x]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[flat].astype(np.int64), starts)
+            mark[mine] = False
+            found = np.flatnonzero(open_[x] & (100 * both >= percent * (lengths + lengths[x] - both)))
+            found = found[np.unique(root[found], return_index=True)[1]]
+            links += [(int(b[x]), int(b[y])) for y in found]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return met.groupBy("hub", "i", "j").applyInArrow(look, "a bigint, b bigint").distinct()
+
+
 def groups(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Two tables: node and root of each node with a link, and id, n and node of each row with a set."""
     rows = docs.select(F.col("doc_id").alias("id"), "text")
-    marks = signed(rows, size)
-    classes = common.checkpointed(marks.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
-    about = classes.select("node", "n", "bits")
-    tables = classes.select("node", F.explode("keys").alias("key"))
-    hubs = tables.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = tables.join(hubs, "key").where("node <> hub").select("hub", "node").distinct()
-    side = lambda x: about.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    marks = common.checkpointed(signed(rows, size))
+    classes = common.checkpointed(marks.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    about = classes.select("node", "n", "sketch")
+    bucket = W.partitionBy("key")
+    tables = classes.select("node", F.explode(table_keys()).alias("key")).withColumn("hub", F.min("node").over(bucket))
+    stars = tables.where("node <> hub").select("hub", "node").distinct()
+    side = lambda x: about.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
     stars = common.checkpointed(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).join(side("b"), "b").join(side("a"), "a"))
     fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     tested = common.checkpointed(similarity(stars.where(fits).select("a", "b").distinct(), rows, size))
@@ -130,20 +210,14 @@ def groups(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     first = components(tested.where(linked))
     # Each node with its hubs: what is known of its distance to the hub, and its component so far.
     far = 1 - F.col("both") / F.col("either")
-    spoke = stars.join(tested, ["a", "b"], "left").join(first.withColumnRenamed("node", "b"), "b", "left").select(
-        F.col("a").alias("hub"), "b", F.col("n_b").alias("n"), F.col("bits_b").alias("bits"), F.coalesce("root", "b").alias("root"),
+    spokes = stars.join(tested, ["a", "b"], "left").join(first.withColumnRenamed("node", "b"), "b", "left").select(
+        F.col("a").alias("hub"), "b", F.col("n_b").alias("n"), F.coalesce("root", "b").alias("root"),
         F.coalesce(far, 1 - F.least("n_a", "n_b") / F.greatest("n_a", "n_b")).alias("lo"), F.coalesce(far, F.lit(1.0)).alias("hi"))
-    x, y = spoke.alias("x"), spoke.alias("y")
-    reach = 1 - percent / 100 + 1e-9
-    open_ = (
-        (F.col("x.hub") == F.col("y.hub")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.root") != F.col("y.root"))
-        & (F.col("x.lo") - F.col("y.hi") <= reach) & (F.col("y.lo") - F.col("x.hi") <= reach)
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= MAX_BITS)
-    )
-    more = common.checkpointed(x.join(y, open_).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct())
-    late = similarity(more, rows, size).where(linked)
-    roots = components(tested.where(linked).select("a", "b").unionByName(late.select("a", "b")))
+    mixed = spokes.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("hub")
+    spokes = spokes.join(mixed, "hub").join(about.select(F.col("node").alias("b"), "sketch"), "b")
+    unsure = common.checkpointed(still_open(spokes, percent))
+    late = compared(unsure, rows, size, percent)
+    roots = components(tested.where(linked).select("a", "b").unionByName(late))
     return roots, marks.select("id", "n", "digest").join(classes.select("digest", "node"), "digest", "left")
 
 

@@ -68,18 +68,11 @@ class Network:
         return seen @ self.top, seen
 
     def scores(self, texts: list[str | None], tables: list[np.ndarray]) -> np.ndarray:
-        out, group, size = [], [], 0
-        for text in [*texts, ...]:
-            if text is ... or size > BLOCK:
-                if group:
-                    # Zero bytes between documents are those that each has at its end when alone.
-                    top = np.concatenate([self.chunks(g, tables)[0] for g in group]) if any(g[-WIDTH:].any() for g in group) else self.chunks(np.concatenate(group), tables)[0]
-                    out.append(self.logits(top, np.array([len(g) // CHUNK for g in group]))[0])
-                group, size = [], 0
-            if text is not ...:
-                group.append(padded(text))
-                size += len(group[-1])
-        return 1 / (1 + np.exp(-np.clip(np.concatenate(out), -30, 30))) if out else np.zeros(0)
+        tops = [self.chunks(padded(t), tables)[0] for t in texts]
+        if not tops:
+            return np.zeros(0)
+        logit, _ = self.logits(np.concatenate(tops), np.array([len(t) for t in tops]))
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
 def constant(p: float) -> Network:

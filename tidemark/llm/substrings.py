@@ -166,8 +166,8 @@ def fetched(firsts: DataFrame, docs: DataFrame) -> DataFrame:
         for b in batches:
             keys, ids, at, parts = [], [], [], []
             for doc, text, want in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = _hashes(text)
-                for x in want:
+                h = _hashes(text) if want else None
+                for x in want or ():
                     s, n = x["first"], x["windows"]
                     for key, i, size in [(None, i, WINDOW) for i in range(s, s + n)] if x["hot"] else [(x["anchor"], s, n + WINDOW - 1)]:
                         part = h[i : i + size].tobytes()
@@ -177,7 +177,8 @@ def fetched(firsts: DataFrame, docs: DataFrame) -> DataFrame:
                         parts.append(part)
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(parts, pa.binary())], names=["key", "doc_id", "first", "hashes"])
 
-    return common.map_batches(docs.join(wanted, "doc_id").select("doc_id", "text", "want"), work, "key bigint, doc_id bigint, first bigint, hashes binary")
+    # All documents are dealt as cleaned() deals them, so that their texts are shuffled once for both.
+    return common.map_batches(docs.select("doc_id", "text").join(wanted, "doc_id", "left").select("doc_id", "text", "want"), work, "key bigint, doc_id bigint, first bigint, hashes binary")
 
 
 def judged(rows: DataFrame) -> DataFrame:

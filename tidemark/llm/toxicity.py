@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 2500, 8000, 512
-SEEDS, EPOCHS, BATCH, RATE, DECAY = (1, 2, 3), 60, 512, 0.05, 1e-4
-MIN_DOCS = 5
+SEEDS, EPOCHS, BATCH, RATE, DECAY = (1, 2, 3), 30, 512, 0.02, 1e-4
+MIN_DOCS, MIN_Z = 5, 4.0
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -60,9 +60,16 @@ NEVER = Model(np.zeros(0, np.uint32), np.zeros((1, 0)), np.array([-40.0]))
 
 
 def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
-    """A linear scorer that minimises the non-negative risk under the sigmoid loss, by Adam in mini-batches."""
+    """A linear scorer that minimises the non-negative risk under the sigmoid loss, by Adam in mini-batches.
+
+    That loss is flat far from the border, so it starts from the log odds of each word among the positives and, with
+    the positives' share taken out of the unlabelled, among the negatives.
+    """
     rng = np.random.default_rng(seed)
-    theta = np.concatenate([rng.normal(0, 0.01, pos.shape[1]), [-1.0]])
+    p = np.clip(pos.mean(axis=0), 1e-3, 1 - 1e-3)
+    n = np.clip((unl.mean(axis=0) - prior * p) / (1 - prior), 1e-3, 1 - 1e-3)
+    odds, rest = np.log(p / n), np.log((1 - p) / (1 - n))
+    theta = np.append(odds - rest, rest.sum() + np.log(prior / (1 - prior))) + rng.normal(0, 0.01, pos.shape[1] + 1)
     m, v, step = np.zeros_like(theta), np.zeros_like(theta), 0
     pos, unl = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (pos, unl))
 
@@ -73,9 +80,9 @@ def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int) -> tuple[np.
     batches = max(1, len(unl) // BATCH)
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(unl)), batches):
-            p = pos[rng.choice(len(pos), min(len(pos), BATCH), replace=False)]
-            _, up = loss(p, 1)
-            as_neg, up_neg = loss(p, -1)
+            some = pos[rng.choice(len(pos), min(len(pos), BATCH), replace=False)]
+            _, up = loss(some, 1)
+            as_neg, up_neg = loss(some, -1)
             unl_neg, un = loss(unl[part], -1)
             short = unl_neg - prior * as_neg  # the risk on negatives, estimated
             grad = prior * up + un - prior * up_neg if short >= 0 else prior * up_neg - un
@@ -97,7 +104,8 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> Model:
     mean = (a + b) / (len(pos) + len(unl))
     z = np.abs(pa_ - pb) / np.sqrt(mean * (1 - mean) * (1 / len(pos) + 1 / len(unl)) + 1e-12)
     z[a + b < min(MIN_DOCS, len(pos))] = 0
-    words = np.sort(ids[np.argsort(-z, kind="stable")[:MAX_FEATURES]])
+    best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
+    words = np.sort(ids[best[z[best] >= MIN_Z]])
 
     def matrix(docs: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(docs), len(words)), np.float32)
