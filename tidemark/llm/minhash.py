@@ -239,3 +239,21 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     alone = docs.join(gone, "doc_id", "left_anti")
     # Rows that repeat an id in full are copies too; null ids are documents of their own.
     return alone.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(alone.where("doc_id is null"))
+
+
+#: Two sets of similarity 0.8 share one of the rarest n - ceil(0.8 n) + 1 shingles of either (in one order for all), so only those are joined; links are counted on the full sets.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+f AS (SELECT x, count(*) AS c FROM s GROUP BY x HAVING count(*) > 1),
+o AS (SELECT s.doc_id, n, s.x, row_number() OVER (PARTITION BY s.doc_id ORDER BY coalesce(c, 1), s.x) AS i FROM s LEFT JOIN f USING (x)),
+p AS (SELECT * FROM o WHERE i <= n - (80 * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.x = y.x GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT a, b FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+m AS (SELECT doc_id, min(other) AS low FROM r GROUP BY doc_id)
+SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, least(g.doc_id, coalesce(low, g.doc_id)) AS component_id, g.doc_id = least(g.doc_id, coalesce(low, g.doc_id)) AS kept
+FROM g LEFT JOIN m USING (doc_id)
+"""

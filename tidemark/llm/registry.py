@@ -12,12 +12,13 @@ QUERIES = {
     "op5_embeddings": embeddings.op5_embeddings,
     "op6_language_id": langid.op6_language_id,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_quality": quality_cnn.op8_quality,
     "op9_minhash": minhash.op9_minhash,
     "op10_mixing": mixing.op10_mixing,
-    "op8_quality": quality_cnn.op8_quality,
 }
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": substrings.OP4_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
-    "op9_minhash": minhash.op9_minhash,
+    "op9_minhash": minhash.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
