@@ -7,8 +7,11 @@ whether the window starts earlier.
 What a shard holds is chosen by content, so that a window needs one shard and not all: the smallest hash of the
 runs of GRAM words in a window is its anchor; equal windows have equal anchors. Neighbouring windows with the anchor
 at the same place form a stretch. Only stretches whose anchor comes again anywhere are fetched; of stretches with the
-same words only the first goes to a shard, as all others are copies throughout. An anchor with more than HOT different
-stretches is split: their windows go to shards one by one, by their own hash. An index is built over SHARD_WORDS words
+same words only the first goes to a shard, as all others are copies throughout; a task already sets aside the copies it
+meets itself, so that a passage in a third of all documents is shuffled about once a task. Anchors with more than HOT
+stretches after that are counted first; their windows are dealt one by one, by their own hash, so no anchor's stretches
+gather in one place. MAX_HOT anchors at most are sent to the tasks: the most frequent, should there be more (which only
+decides where windows meet, not what is found). An index is built over SHARD_WORDS words
 or little more at a time.
 
 Defined results: null and empty texts have no words; a text of fewer than WINDOW words loses none; rows with a null id
@@ -18,7 +21,6 @@ treated alike.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -32,6 +34,8 @@ from . import common
 from .words import mix, word_hashes
 
 WINDOW, GRAM, HOT, SHARD_WORDS = 20, 8, 20_000, 400_000
+#: Anchors that are split; stretches a task remembers to know copies by.
+MAX_HOT, REMEMBERED = 100_000, 300_000
 #: Suffixes are sorted by so many words, which is exact for patterns of up to one word less.
 DEPTH = 32
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -123,8 +127,11 @@ def repeated(docs: np.ndarray, starts: np.ndarray, stretches: list[np.ndarray])
     return docs[owner[late[head]]], place[late[head]], place[late[tail]] + WINDOW
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a document's word hashes: each stretch's anchor, hash of its words, first word, and number of windows."""
+def anchors(h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a document's word hashes: each stretch's anchor, hash of its words, first word, and number of windows.
+
+    A window with one of the anchors in `hot` is a stretch of its own, with the hash of its words as anchor.
+    """
     n = len(h) - WINDOW + 1
     if n < 1:
         none = np.zeros(0, np.uint64)
@@ -134,33 +141,67 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         grams = mix(grams * np.uint64(3) + h[i : len(h) - GRAM + 1 + i]) if i % 4 == 3 else grams * _BASE + h[i : len(h) - GRAM + 1 + i]
     span = WINDOW - GRAM + 1
     at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+    alone = np.isin(grams[at], hot) if len(hot) else np.zeros(n, bool)
+    first = np.flatnonzero(np.append(True, np.diff(at) > 0) | alone)
     count = np.diff(np.append(first, n))
     powers = np.cumprod(np.full(len(h), _BASE))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers)])
     # The same words at another place give the same sum times a power of the base.
     back = np.cumprod(np.full(len(h), np.uint64(pow(int(_BASE), -1, 1 << 64))))
     words = mix((sums[first + count + WINDOW - 1] - sums[first]) * back[first] + count.astype(np.uint64))
-    return grams[at[first]], words, first.astype(np.int32), count.astype(np.int32)
+    return np.where(alone[first], words, grams[at[first]]), words, first.astype(np.int32), count.astype(np.int32)
+
+
+class Seen:
+    """The stretches that a task has met: those met again stay when memory is cleared, unless they fill half of it."""
+
+    def __init__(self):
+        self.least, self.again = {}, set()
 
+    def copies(self, words: np.ndarray, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Which of the stretches start after one with the same words that was met before."""
+        out, least = np.zeros(len(words), bool), self.least
+        for i, (w, place) in enumerate(zip(words.tolist(), zip(ids.tolist(), firsts.tolist(), strict=True), strict=True)):
+            if (known := least.setdefault(w, place)) is not place:
+                self.again.add(w)
+                if known < place:
+                    out[i] = True
+                else:
+                    least[w] = place
+        if len(least) > REMEMBERED:
+            kept = self.again if 2 * len(self.again) <= REMEMBERED else ()
+            self.least, self.again = {w: least[w] for w in kept}, set()
+        return out
 
-def stretches(docs: DataFrame) -> DataFrame:
-    """anchor, words, doc_id, first and windows of each stretch of each document."""
+
+def stretches(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """anchor, words, doc_id, first and windows of each stretch of each document; `copy` says that its task met it earlier."""
 
     def work(batches):
+        seen = Seen()
         for b in batches:
-            found = [anchors(_hashes(t)) for t in b.column(1).to_pylist()]
+            found = [anchors(_hashes(t), hot) for t in b.column(1).to_pylist()]
+            if not found:
+                continue
             ids = np.repeat(b.column(0).to_numpy(), [len(f[0]) for f in found])
             a, w, s, c = (np.concatenate([f[i] for f in found]) for i in range(4))
-            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(w.view(np.int64)), pa.array(ids), pa.array(s), pa.array(c)], names=["anchor", "words", "doc_id", "first", "windows"])
+            copy = seen.copies(w, ids, s)
+            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(w.view(np.int64)), pa.array(ids), pa.array(s), pa.array(c), pa.array(copy)], names=["anchor", "words", "doc_id", "first", "windows", "copy"])
 
     rows = docs.select("doc_id", "text").where("doc_id is not null")
-    return common.map_batches(rows, work, "anchor bigint, words bigint, doc_id bigint, first int, windows int")
+    return common.map_batches(rows, work, "anchor bigint, words bigint, doc_id bigint, first int, windows int, copy boolean")
+
+
+def frequent(docs: DataFrame) -> np.ndarray:
+    """The anchors with more than HOT stretches, copies within a task counted once; the MAX_HOT most frequent ones."""
+    counts = stretches(docs, np.zeros(0, np.uint64)).where("NOT copy").groupBy("anchor").count().where(F.col("count") > HOT)
+    found = counts.orderBy(F.desc("count"), "anchor").limit(MAX_HOT).select("anchor").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
 def fetched(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     """The stretches with the hashes of their words, keyed by what deals them to shards."""
-    wanted = firsts.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "first", "windows", "hot")).alias("want"))
+    wanted = firsts.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "first", "windows")).alias("want"))
 
     def work(batches):
         for b in batches:
@@ -168,13 +209,10 @@ def fetched(firsts: DataFrame, docs: DataFrame) -> DataFrame:
             for doc, text, want in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = _hashes(text) if want else None
                 for x in want or ():
-                    s, n = x["first"], x["windows"]
-                    for key, i, size in [(None, i, WINDOW) for i in range(s, s + n)] if x["hot"] else [(x["anchor"], s, n + WINDOW - 1)]:
-                        part = h[i : i + size].tobytes()
-                        keys.append(int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "big", signed=True) if key is None else key)
-                        ids.append(doc)
-                        at.append(i)
-                        parts.append(part)
+                    keys.append(x["anchor"])
+                    ids.append(doc)
+                    at.append(x["first"])
+                    parts.append(h[x["first"] : x["first"] + x["windows"] + WINDOW - 1].tobytes())
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(parts, pa.binary())], names=["key", "doc_id", "first", "hashes"])
 
     # All documents are dealt as cleaned() deals them, so that their texts are shuffled once for both.
@@ -210,12 +248,15 @@ def judged(rows: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id and `gone`, the stretches of words to remove, for each document that has any."""
-    again = stretches(docs).repartition("anchor").withColumn("n", F.count("*").over(W.partitionBy("anchor"))).where("n > 1")
-    order = W.partitionBy("anchor", "words").orderBy("doc_id", "first")
-    ranked = again.withColumn("rank", F.rank().over(order)).withColumn("hot", F.sum((F.col("rank") == 1).cast("int")).over(W.partitionBy("anchor")) > HOT)
-    ranked = common.checkpointed(ranked.select("anchor", "doc_id", "first", "windows", "rank", "hot"))
-    copies = ranked.where("rank > 1").select("doc_id", F.col("first").cast("bigint").alias("start"), (F.col("first") + F.col("windows") + WINDOW - 1).cast("bigint").alias("end"))
-    late = judged(fetched(ranked.where("rank = 1"), docs))
+    # A copy's place in the shuffle is its own, for nothing more is asked about it.
+    key = F.when(F.col("copy"), F.xxhash64("doc_id", "first")).otherwise(F.col("anchor"))
+    every = stretches(docs, frequent(docs)).withColumn("key", key).repartition("copy", "key")
+    again = every.withColumn("n", F.count("*").over(W.partitionBy("copy", "key"))).where("n > 1 OR copy")
+    order = W.partitionBy("copy", "key", "words").orderBy("doc_id", "first")
+    ranked = again.withColumn("later", F.col("copy") | (F.rank().over(order) > 1))
+    ranked = common.checkpointed(ranked.select("anchor", "doc_id", "first", "windows", "later"))
+    copies = ranked.where("later").select("doc_id", F.col("first").cast("bigint").alias("start"), (F.col("first") + F.col("windows") + WINDOW - 1).cast("bigint").alias("end"))
+    late = judged(fetched(ranked.where("NOT later"), docs))
     return copies.unionByName(late).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
 
 
