@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 2500, 8000, 512
+MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 2500, 8000, 2048
 SEEDS, EPOCHS, BATCH, RATE, DECAY = (1, 2, 3), 30, 512, 0.02, 1e-4
 MIN_DOCS, MIN_Z = 5, 4.0
 _WORD = re.compile(r"[^\W_]+")
@@ -63,13 +63,13 @@ def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int) -> tuple[np.
     """A linear scorer that minimises the non-negative risk under the sigmoid loss, by Adam in mini-batches.
 
     That loss is flat far from the border, so it starts from the log odds of each word among the positives and, with
-    the positives' share taken out of the unlabelled, among the negatives.
+    the positives' share taken out of the unlabelled, among the negatives. Absent words say nothing at the start: they
+    go together, and counted one by one they would outweigh any word that is there.
     """
     rng = np.random.default_rng(seed)
     p = np.clip(pos.mean(axis=0), 1e-3, 1 - 1e-3)
     n = np.clip((unl.mean(axis=0) - prior * p) / (1 - prior), 1e-3, 1 - 1e-3)
-    odds, rest = np.log(p / n), np.log((1 - p) / (1 - n))
-    theta = np.append(odds - rest, rest.sum() + np.log(prior / (1 - prior))) + rng.normal(0, 0.01, pos.shape[1] + 1)
+    theta = np.append(np.log(p / n), np.log(prior / (1 - prior))) + rng.normal(0, 0.01, pos.shape[1] + 1)
     m, v, step = np.zeros_like(theta), np.zeros_like(theta), 0
     pos, unl = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (pos, unl))
 
