@@ -59,6 +59,29 @@ def test_ordinary_text_is_left_alone(text):
     assert pii.written(pii.spans_of(text)[1]) == ""
 
 
+DOT_ONLY = [
+    ("email", "jane.doe@example [dot] com"),
+    ("email", "jane@mail dot org"),
+    ("ip", "10[.]0[.]0[.]1"),
+    ("ip", "192 dot 168 dot 1 dot 20"),
+    ("ip", "192 punkt 168 punkt 1 punkt 20"),
+    ("ip", "one dot 168 dot two dot 20"),
+]
+
+
+@pytest.mark.parametrize("beside", ["", " and mail bob [at] site [dot] com", " and Привет", " and 4 one two three four"])
+@pytest.mark.parametrize(("kind", "piece"), DOT_ONLY)
+def test_dots_alone_are_a_disguise(kind, piece, beside):
+    text = f"write to {piece}, please{beside}"
+    base, every = pii.spans_of(text)
+    assert base[kind] == [] and piece in [text[a:b] for a, b in every[kind]]
+
+
+def test_written_dots_without_identifiers():
+    assert pii.written(pii.spans_of("the dot product, 3 point 5, one dot 2 dot 3, 300 dot 1 dot 1 dot 1, v1[.]2")[1]) == ""
+    assert len(pii.spans_of(("1 dot " * 200_000 + "x") + "1" * 300_000 + "x")[1]["ip"]) == 50_000
+
+
 def test_base_spans_stay():
     base, every = pii.spans_of("x@y.zz and jоhn@z.org and 1.2.3.4")
     assert pii.written(base) == "email:0:6,email:13:18,ip:23:30" or set(base["email"]) <= set(every["email"])

@@ -74,6 +74,10 @@ _SPELLED = re.compile(rf"(?<![^\W_])(?:(?:\+|plus)[ ]?)?{_ONE}(?:[ ,()-]{{1,3}}{
 #: Cheap tests on lower-case text (with a blank before it): without a match, the patterns above and below find nothing.
 _MAY_SPELL = re.compile(rf"[^\w](?:{_NAME})(?:[ ,()-]{{1,3}}|[ ]?(?:dot|punkt|punto|point|\.)[ ]?)(?:{_NAME}|[0-9])")
 _MAY_AT = re.compile(r"[\[({<][ ]?(?:at|@)|[ ](?:at|@)[ ]")
+#: Four or more numbers joined by dots alone, written out, in brackets or plain.
+_DOT_CHAIN = re.compile(rf"(?<![^\W_])(?:{_NAME}|[0-9]++)(?:(?:[ ]?(?:dot|punkt|punto|point)[ ]?|[ ]?[\[({{<][ ]?(?:dot|\.)[ ]?[\])}}>][ ]?|\.)(?:{_NAME}|[0-9]++)){{3,}}(?![^\W_])", re.I)
+_MAY_DOT = re.compile(rf"[\[({{<][ ]?(?:dot|\.)|[ ]dot[ ]|(?:dot|punkt|punto|point)[ ]?(?:{_NAME}|[0-9])")
+_WRITTEN_DOT = re.compile(r"dot|punkt|punto|point|[\[({<]", re.I)
 _PIECE = re.compile(rf"(?:\+|plus)|{_NAME}|[0-9]|dot|punkt|punto|point|\.", re.I)
 _AT = re.compile(r"[ ]?[\[({<][ ]?(?:at|@)[ ]?[\])}>][ ]?|[ ](?:at|@)[ ](?=[a-z0-9-]{1,63}(?:[ ]dot[ ]|[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?))", re.I)
 _DOT = re.compile(r"(?<=[a-z0-9])(?:[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?|[ ]dot[ ])(?=[a-z0-9])", re.I)
@@ -128,10 +132,18 @@ def _spelled(m: Mapped) -> None:
     m.rewrite(edits)
 
 
+def _dotted(m: Mapped) -> None:
+    """Chains of numbers with a written dot, whatever part of the numbers is spelled."""
+    edits = []
+    for hit in _DOT_CHAIN.finditer(m.text):
+        if _WRITTEN_DOT.search(hit[0]):
+            pieces = list(_PIECE.finditer(m.text, *hit.span()))
+            edits.append((*hit.span(), [(DIGITS.get(w := p[0].lower()) or (w if w.isdigit() else "."), *p.span()) for p in pieces]))
+    m.rewrite(edits)
+
+
 def _at_dot(m: Mapped) -> None:
     for sign, pattern in (("@", _AT), (".", _DOT)):
-        if sign == "." and "@" not in m.text:
-            return
         m.rewrite([(*hit.span(), [(sign, *hit.span())]) for hit in pattern.finditer(m.text)])
 
 
@@ -181,18 +193,22 @@ def disguised(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     low = " " + text.lower()
     folded = not text.isascii() and _MAYBE_FOLDED.search(text)
-    if not folded and not (_MAY_AT.search(low) and _AT.search(text)) and not (_MAY_SPELL.search(low) and _SPELLED.search(text)):
+    dots = _MAY_DOT.search(low) and (_DOT.search(text) or _DOT_CHAIN.search(text))
+    if not folded and not dots and not (_MAY_AT.search(low) and _AT.search(text)) and not (_MAY_SPELL.search(low) and _SPELLED.search(text)):
         return out
     m = Mapped(text)
-    for transducer in (_homoglyphs, _spelled, _at_dot):
+    for transducer in (_homoglyphs, _spelled, _dotted, _at_dot):
         transducer(m)
     for kind, spans in find(m.text).items():
-        taken = list(base[kind])
+        at, i, plain = 0, 0, base[kind]
         for span in spans:
             a, b = m.source(span)
-            if any(m.new[span[0] : span[1]]) and not any(a < y and x < b for x, y in taken):
+            # Both lists are in order and free of overlaps.
+            while i < len(plain) and plain[i][1] <= a:
+                i += 1
+            if any(m.new[span[0] : span[1]]) and a >= at and not (i < len(plain) and plain[i][0] < b):
                 out[kind].append((a, b))
-                taken.append((a, b))
+                at = b
     return out
 
 
