@@ -128,3 +128,19 @@ def test_error_resolver_raises(spark):
 def test_overflow_is_an_error(spark):
     with pytest.raises(Exception, match="OVERFLOW"):
         run(spark, [(1, 2**31 - 1, None, 10, 0)], [(1, 1, 11, 2, "U", (5, None), (1, None), None)], deltas=["v"]).select(F.sum("v")).collect()
+
+
+@pytest.mark.parametrize("seqs", [1, 40])
+def test_hot_keys_go_range_by_range(spark, seqs, monkeypatch):
+    """A key with a third of the rows, some of them in one commit, gives the same rows and log as one fold."""
+    r = random.Random(4)
+    changes = [(0 if n % 3 == 0 else r.randrange(1, 9), 1000 + n // seqs, n % seqs, t(r.randrange(50)), r.randrange(3), op, None if op == "D" else (n, n), None, None) for n in range(900) for op in [r.choice("IUUD")]]
+    c = spark.createDataFrame(changes, f"k int, commit_lsn bigint, seq int, commit_ts timestamp_ntz, origin_id int, op string, new {ROW}, old {ROW}, changed array<string>")
+    s = spark.createDataFrame([(0, 1, 1, t(0), 0), (77, 1, 1, t(0), 0)], "k int, v int, w int, _ts timestamp_ntz, _origin int")
+    sizes, fold = [], apply.fold
+    monkeypatch.setattr(apply, "fold", lambda c, *a: sizes.append(c.groupBy("k").count().agg(F.max("count")).first()[0]) or fold(c, *a))
+    rows, log = apply.applied(c, s, ["k"], ["v", "w"], max_changes=120)
+    whole = fold(c, s, ["k"], ["v", "w"])
+    assert sorted(rows.collect()) == sorted(apply.rows(whole).collect())
+    assert sorted(map(repr, log.collect())) == sorted(map(repr, apply.log(whole, ["k"]).collect())) and log.count() == 900
+    assert len(sizes) >= 4 and max(sizes) <= 120

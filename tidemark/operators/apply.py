@@ -1,13 +1,15 @@
 """Changes applied to a keyed table, in order.
 
 `fold` is the full rule: each key's changes in order of position over its row, with conflicts, delta columns, partial
-rows and deletes. It is one aggregation by key with a fold in JVM expressions. A key's changes are gathered in one row,
-so cut a long history in batches of positions (as streaming.apply_stream does): the state carries over exactly.
+rows and deletes. It is one aggregation by key with a fold in JVM expressions. It gathers a key's changes in one row, so `applied` gives it
+no more than MAX_CHANGES of a key at once: keys with more go through ranges of positions, one after the other, over
+which the state carries exactly.
 `newest` in operators.resolve is the short way where there are only inserts and updates of whole rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import delta
 from tidemark.operators import resolve
 
+#: The changes of one key that one row holds; the log grows in blocks, so that its cost isn't quadratic; the ranges that one count looks at.
+MAX_CHANGES, LOG_BLOCK, CUTS = 50_000, 256, 1_000
+
 
 def fold(
     changes: DataFrame,
@@ -75,15 +80,96 @@ def fold(
 
     pos = changes.schema
     log_type = f"array<struct<commit_lsn:{pos['commit_lsn'].dataType.simpleString()},seq:{pos['seq'].dataType.simpleString()},op:string,conflict_type:string,resolution:string,failed:boolean>>"
-    first = F.struct(F.coalesce("_state", absent).alias("s"), F.array().cast(log_type).alias("log"))
-    done = both.select(*key, F.aggregate(F.coalesce("_changes", F.array().cast(f"array<{_struct(grouped)}>")), first, step).alias("r"))
-    return done.select(*key, "r.s.*", "r.log")
+    empty = F.array().cast(log_type)
+    all_changes = F.coalesce("_changes", F.array().cast(f"array<{_struct(grouped)}>"))
+    blocks = F.transform(F.expr(f"sequence(0, greatest(size(_all) - 1, 0) div {LOG_BLOCK})"), lambda i: F.slice("_all", (i * LOG_BLOCK + 1).cast("int"), LOG_BLOCK))
+
+    def block(acc: Column, b: Column) -> Column:
+        one = F.aggregate(b, F.struct(acc["s"].alias("s"), empty.alias("log")), step)
+        return F.transform(F.array(one), lambda r: F.struct(r["s"].alias("s"), F.concat(acc["log"], F.array(r["log"])).alias("log")))[0]
+
+    first = F.struct(F.coalesce("_state", absent).alias("s"), F.array().cast(f"array<{log_type}>").alias("log"))
+    done = both.withColumn("_all", all_changes).select(*key, F.aggregate(blocks, first, block).alias("r"))
+    return done.select(*key, "r.s.*", F.flatten("r.log").alias("log"))
 
 
 def _struct(grouped: DataFrame) -> str:
     return grouped.schema["_changes"].dataType.elementType.simpleString()
 
 
+def _cuts(at: DataFrame, key: Sequence[str], most: int) -> list[tuple[int, int]]:
+    """Ranges [a, b) of the whole numbers `_p`, in order, with at most `most` rows of a key each where equal numbers allow it."""
+
+    def split(a: int, b: int) -> list[tuple[int, int, int]]:
+        """Parts of [a, b) that hold rows, each with the rows of its largest key."""
+        width = -(-(b - a) // CUTS)
+        inside = at.where((F.col("_p") >= F.expr(f"{a}BD")) & (F.col("_p") < F.expr(f"{b}BD")))
+        part = inside.select(*key, F.expr(f"cast((_p - {a}BD) div {width}BD AS int)").alias("_i"))
+        found = part.groupBy("_i", *key).agg(F.count("*").alias("n")).groupBy("_i").agg(F.max("n").alias("n")).orderBy("_i").collect()
+        out = []
+        for r in found:
+            lo = a + r["_i"] * width
+            hi = min(b, lo + width)
+            out += split(lo, hi) if r["n"] > most and hi - lo > 1 else [(lo, hi, r["n"])]
+        return out
+
+    ends = at.agg(F.min("_p").alias("a"), F.max("_p").alias("b")).first()
+    ranges, size = [], 0
+    for lo, hi, n in split(int(ends["a"]), int(ends["b"]) + 1):
+        if ranges and size + n <= most:
+            ranges[-1], size = (ranges[-1][0], hi), size + n
+        else:
+            ranges.append((lo, hi))
+            size = n
+    return ranges
+
+
+def applied(
+    changes: DataFrame,
+    state: DataFrame,
+    key: Sequence[str],
+    columns: Sequence[str],
+    deltas: Sequence[str] = (),
+    own_tiebreaker: int = 1,
+    tiebreakers: Mapping[int, int] | None = None,
+    resolver: str = "last_update_wins",
+    max_changes: int = MAX_CHANGES,
+) -> tuple[DataFrame, DataFrame]:
+    """The table after all changes, and the log with a row for each change, as `rows` and `log` of a fold have them.
+
+    Keys of up to `max_changes` changes are folded at once. The changes of the others are written out by position and
+    folded range by range; each range's rows and log go to the shared checkpoint folder, and the next starts from them.
+    """
+    rule = (key, columns, deltas, own_tiebreaker, tiebreakers, resolver)
+    many = changes.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > max_changes).select(*[F.col(k).alias(f"_hot_{k}") for k in key]).dropna()
+    spark = changes.sparkSession
+    # No more keys than rows / max_changes.
+    hot = spark.createDataFrame(many.collect(), many.schema)
+    if hot.isEmpty():
+        folded = fold(changes, state, *rule)
+        return rows(folded), log(folded, key)
+    same = [F.col(k) == F.col(f"_hot_{k}") for k in key]
+    cold = fold(changes.join(F.broadcast(hot), same, "left_anti"), state.join(F.broadcast(hot), same, "left_anti"), *rule)
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/fold-{uuid.uuid4().hex}"
+    own = changes.join(F.broadcast(hot), same, "left_semi")
+    low = own.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    first, last = int(low["a"] or 0) - 1, int(low["b"] or 0)
+    # Nulls come first, as in the order of structs.
+    place = F.coalesce(F.col("commit_lsn").cast("decimal(19,0)"), F.expr(f"{-(2**63) - 1}BD")) * F.lit(last - first + 1).cast("decimal(19,0)")
+    at = own.withColumn("_p", (place + F.coalesce(F.col("seq").cast("decimal(19,0)"), F.lit(first).cast("decimal(19,0)")) - F.lit(first).cast("decimal(19,0)")).cast("decimal(38,0)"))
+    at.repartitionByRange("_p").sortWithinPartitions("_p").write.parquet(f"{folder}/changes")
+    at = spark.read.schema(at.schema).parquet(f"{folder}/changes")
+    now, parts = state.join(F.broadcast(hot), same, "left_semi"), []
+    for i, (a, b) in enumerate(_cuts(at, key, max_changes)):
+        inside = at.where((F.col("_p") >= F.expr(f"{a}BD")) & (F.col("_p") < F.expr(f"{b}BD"))).drop("_p")
+        done = fold(inside, now, *rule)
+        done.write.parquet(f"{folder}/range-{i}")
+        parts.append(f"{folder}/range-{i}")
+        now = rows(spark.read.schema(done.schema).parquet(parts[-1]))
+    return rows(cold).unionByName(now), log(cold, key).unionByName(log(spark.read.schema(done.schema).parquet(*parts), key))
+
+
 def rows(folded: DataFrame) -> DataFrame:
     """The table after the fold."""
     return folded.where("present").drop("present", "log")

@@ -184,11 +184,11 @@ f(key, n, present, event_type, value, props, ts, origin, kind, win, op) AS (
 """
 
 
-def _folded(spark, d, changes: DataFrame | None = None) -> DataFrame:
+def _folded(spark, d, changes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     c = _ch(spark, d) if changes is None else changes
     c = c.select("key", "commit_lsn", "seq", "commit_ts", "origin_id", "op", F.when(F.col("op") != "D", F.struct(*_ROW)).alias("new"), F.lit(None).cast("struct<event_type:string,value:double,props:string>").alias("old"), F.lit(None).cast("array<string>").alias("changed"))
     empty = c.limit(0).select("key", F.lit("").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"), F.col("commit_ts").alias("_ts"), F.col("origin_id").alias("_origin"))
-    return apply.fold(c, empty, ["key"], _ROW, own_tiebreaker=1)
+    return apply.applied(c, empty, ["key"], _ROW, own_tiebreaker=1)
 
 
 _LAST = "SELECT key, event_type, round(value, 6) AS value, props, ts AS _ts, origin AS _origin FROM f WHERE n = (SELECT max(n) FROM f g WHERE g.key = f.key) AND present"
@@ -196,23 +196,23 @@ _LAST = "SELECT key, event_type, round(value, 6) AS value, props, ts AS _ts, ori
 
 @query(_fold_sql("") + _LAST)
 def keyed_fold(spark, d):
-    return apply.rows(_folded(spark, d)).withColumn("value", F.round("value", 6))
+    return _folded(spark, d)[0].withColumn("value", F.round("value", 6))
 
 
 @query(_fold_sql("", "date_trunc('hour', commit_ts)") + _LAST)
 def tiebreak_equal_ts(spark, d):
     c = _ch(spark, d).withColumn("commit_ts", F.date_trunc("hour", "commit_ts").cast("timestamp_ntz"))
-    return apply.rows(_folded(spark, d, c)).withColumn("value", F.round("value", 6))
+    return _folded(spark, d, c)[0].withColumn("value", F.round("value", 6))
 
 
 @query(_fold_sql("") + "SELECT key, op, kind AS conflict_type, count(*) AS n FROM f WHERE kind IS NOT NULL GROUP BY ALL")
 def fold_conflicts(spark, d):
-    return apply.log(_folded(spark, d), ["key"]).where("conflict_type IS NOT NULL").groupBy("key", "op", "conflict_type").agg(F.count("*").alias("n"))
+    return _folded(spark, d)[1].where("conflict_type IS NOT NULL").groupBy("key", "op", "conflict_type").agg(F.count("*").alias("n"))
 
 
 @query(_fold_sql("") + "SELECT " + ", ".join(f"count(*) FILTER (kind = '{t}') AS confl_{t}" for t in resolve.TYPES) + ", key % 5 AS subid FROM f GROUP BY key % 5")
 def conflict_counts(spark, d):
-    return resolve.counts(apply.log(_folded(spark, d), ["key"]).withColumn("subid", F.col("key") % 5))
+    return resolve.counts(_folded(spark, d)[1].withColumn("subid", F.col("key") % 5))
 
 
 _STATE_SQL = "s AS (SELECT key, max(commit_ts) AS lts, max_by(origin_id, commit_ts) AS lorg FROM ch WHERE commit_lsn % 2 = 0 AND key % 3 <> 0 GROUP BY key)"
@@ -283,7 +283,7 @@ def delta_fold_balance(spark, d):
         F.struct(F.col("o_totalprice").alias("c_acctbal")).alias("new"), F.struct(F.lit(0.0).alias("c_acctbal")).cast(row).alias("old"), F.lit(None).cast("array<string>").alias("changed"))
     state = _read(spark, d, "customer").select("c_custkey", "c_acctbal", F.lit("2000-01-01").cast("timestamp_ntz").alias("_ts"), F.lit(0).alias("_origin"))
     known = c.join(state.select("c_custkey"), "c_custkey", "left_semi")
-    return apply.rows(apply.fold(known, state, ["c_custkey"], ["c_acctbal"], ["c_acctbal"])).select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+    return apply.applied(known, state, ["c_custkey"], ["c_acctbal"], ["c_acctbal"])[0].select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
 @query("SELECT n_nationkey AS id, (n_nationkey + (n_nationkey * 3 - n_nationkey))::SMALLINT AS i2, round(n_nationkey / 4.0 + (1.5 - 0.25), 6) AS f8, (n_nationkey + 0.75 - 0.25)::DOUBLE AS dec FROM nation")

@@ -62,13 +62,14 @@ def apply_stream(
     def one(batch: DataFrame, number: int) -> None:
         before = versions.before(number)
         state = initial if before is None else before
-        folded = apply.fold(batch, state, key, columns, deltas, own_tiebreaker, tiebreakers).persist()
+        batch = batch.persist()
         try:
-            versions.write(apply.rows(folded), number + 1)
+            table, log = apply.applied(batch, state, key, columns, deltas, own_tiebreaker, tiebreakers)
+            versions.write(table, number + 1)
             if log_path:
-                apply.log(folded, key).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
+                log.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
         finally:
-            folded.unpersist()
+            batch.unpersist()
 
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
