@@ -193,3 +193,22 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
 def test_windowed_counts(spark, sf_dir):
     c = ch.from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
     assert counts_by_window(c).agg(F.sum("n")).first()[0] == c.count()
+
+
+def test_unique_probe_of_one_hot_value_is_linear(spark):
+    """200,000 rows of one value: all pairs would be 4e10 rows."""
+    from tidemark.operators import resolve
+
+    c = spark.range(200_000).selectExpr("id AS k", "IF(id % 2 = 0, 7L, NULL) AS v")
+    for distinct, least, n in ((True, {0: 2, 2: 0}, 100_000), (False, {0: 2, 1: 3, 2: 0, 3: 1}, 200_000)):
+        got = resolve.unique_probe(c, c, ["k"], ["v"], nulls_distinct=distinct)
+        assert got.count() == n
+        assert {r["k"]: r["met_k"] for r in got.where("k < 4").collect()} == least
+
+
+def test_whole_tables_are_probed(spark, sf_dir):
+    from tidemark.plans import queries as plans
+
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    assert plans.QUERIES["unique_probe_not_distinct_all"](spark, sf_dir).count() > customers // 2
+    assert {len(r["sub"]) > 16 for r in plans.QUERIES["slot_names_all"](spark, sf_dir).collect()} == {True, False}

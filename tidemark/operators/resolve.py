@@ -85,10 +85,16 @@ def unique_probe(incoming: DataFrame, state: DataFrame, key: Sequence[str], colu
         incoming, state = incoming.where(where), state.where(where)
     if nulls_distinct:
         incoming, state = (x.dropna(subset=list(columns)) for x in (incoming, state))
-    a, b = incoming.alias("a"), state.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") if nulls_distinct else F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns]
-    met = a.join(b, same).where(F.struct(*[F.col(f"a.{k}") for k in key]) != F.struct(*[F.col(f"b.{k}") for k in key]))
-    return met.groupBy(*[F.col(f"a.{c}").alias(c) for c in incoming.columns]).agg(F.min(F.struct(*[F.col(f"b.{k}") for k in key])).alias("met")).select(*incoming.columns, *[F.col(f"met.{k}").alias(f"met_{k}") for k in key])
+    # A row meets the smallest key of its value or, if that is its own, the second smallest.
+    seen = state.select(*[F.col(c).alias(f"_v_{c}") for c in columns], F.struct(*key).alias("_k"))
+    values = [F.col(f"_v_{c}") for c in columns]
+    least = seen.groupBy(*values).agg(F.min("_k").alias("_first"))
+    again = [F.col(f"_v_{c}").eqNullSafe(F.col(f"_w_{c}")) for c in columns]
+    lows = least.select(*[F.col(f"_v_{c}").alias(f"_w_{c}") for c in columns], "_first")
+    two = seen.join(lows, again).groupBy(*values).agg(F.first("_first").alias("_first"), F.min(F.when(F.col("_k") != F.col("_first"), F.col("_k"))).alias("_second"))
+    same = [F.col(c) == F.col(f"_v_{c}") if nulls_distinct else F.col(c).eqNullSafe(F.col(f"_v_{c}")) for c in columns]
+    met = incoming.distinct().join(two, same).withColumn("_met", F.when(F.struct(*key) != F.col("_first"), F.col("_first")).otherwise(F.col("_second")))
+    return met.where("_met IS NOT NULL").select(*incoming.columns, *[F.col("_met")[k].alias(f"met_{k}") for k in key])
 
 
 def commit_order_breaks(transactions: DataFrame, by: Sequence[str] = ("origin_id",)) -> DataFrame:
