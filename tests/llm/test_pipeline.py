@@ -35,6 +35,24 @@ def test_run_equals_the_stages_by_hand(spark, sf_dir):
     assert got == want and len(got) > 100
 
 
+def test_the_mix_reaches_the_result(spark, sf_dir):
+    """Rows come in order of slots, and no source is a whole block off its target weight."""
+    sources = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert [(r["slot"], r["doc_id"]) for r in rows] == sorted((r["slot"], r["doc_id"]) for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(sources[r["doc_id"]], []).append(r["slot"])
+    most = max(map(len, by.values()))
+    parts = {s: max(1, int(100 * (len(x) / most) ** 0.5 + 0.5)) for s, x in by.items()}
+    q = sum(parts.values())
+    assert len(by) > 1 and sum(len(set(x)) for x in by.values()) == len({r["slot"] for r in rows})
+    for s, x in by.items():
+        assert max(x.count(t) for t in set(x)) <= mixing.BLOCK_ROWS
+        for k, t in enumerate(sorted(set(x))):
+            assert k * q // parts[s] <= t < -(-(k + 1) * q // parts[s])
+
+
 @pytest.mark.parametrize("stage", [minhash.stage, pii.stage, mixing.stage, bpe.stage])
 def test_stages_on_odd_rows(spark, sf_dir, docs_of, stage):
     docs = docs_of([None, "", "same text here again", "same text here again", "x " * 50_000])

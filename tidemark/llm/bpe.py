@@ -34,7 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common
+from . import common, mixing
 
 CACHE, CACHED_LENGTH = 300_000, 40
 _NEVER = 1 << 60
@@ -265,18 +265,19 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and the ids of every row's text."""
+def encode(docs: DataFrame, path: str | None = None, slots: bool = False) -> DataFrame:
+    """doc_id and the ids of every row's text, with the row's slot between them if asked for."""
+    kept = ["doc_id", "slot"] if slots else ["doc_id"]
     path = path or vocabulary()
 
     def work(batches):
         bpe = load(path)
         for b in batches:
-            ids = [np.frombuffer(bpe.encode(t), "<i4") for t in b.column(1).to_pylist()]
+            ids = [np.frombuffer(bpe.encode(t), "<i4") for t in b.column(len(kept)).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))], names=["doc_id", "ids"])
+            yield pa.record_batch([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))], names=[*kept, "ids"])
 
-    return common.map_batches(docs.select("doc_id", "text"), work, "doc_id bigint, ids array<int>")
+    return common.map_batches(docs.select(*kept, "text"), work, "".join(f"{c} bigint, " for c in kept) + "ids array<int>")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -304,6 +305,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.read(spark, sf_dir, "documents"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the mix's slot and the token ids of every document, in order of slots: what is read from files has lost the order."""
+    rows = mixing.mix(docs.select("doc_id", "source", "text")).withColumnRenamed("_slot", "slot")
+    return encode(rows.repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "doc_id"), slots=True)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the token ids of every document."""
-    return encode(docs)
+    """doc_id and the token ids of every document, in order of the mix's slots."""
+    return mixed(spark, docs, sf_dir).drop("slot")
