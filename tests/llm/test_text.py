@@ -200,3 +200,12 @@ def test_order_by_rejections_per_second(docs_of):
     docs = docs_of(["a b c"] * 30)
     assert quality_rules.order(docs)[0].name in ("few_words", "word_length")
     assert len(quality_rules.order(docs.limit(0))) == len(quality_rules.RULES)
+
+
+def test_more_than_a_thousand_sources_are_mixed(spark):
+    from tidemark.llm import mixing
+
+    docs = spark.range(41_100).selectExpr("id AS doc_id", "IF(id < 40000, 'big', concat('host', id)) AS source", "'t' AS text")
+    got = mixing.mix(docs).where("source <> 'big' OR _block = 0").select("source", "_slot").distinct().collect()
+    assert mixing.mix(docs).count() == 41_100
+    assert len(got) == 1_101 and len({r["_slot"] for r in got}) == 1_101 and max(r["_slot"] for r in got) < 1_200

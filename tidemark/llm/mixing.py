@@ -15,7 +15,7 @@ Nothing is dropped: when a source runs out, its slots stay empty and the rest go
 Defined results: a null source is a source of its own, last in name order of ties; null ids come first in their
 source; rows with equal ids are in order of the text's hash; an empty table gives no rows. The weights are whole
 numbers; without any, a source gets round(100 * sqrt(rows / rows of the largest source)) parts, at least 1. The
-cycle is made in one task from one row a source, for up to MAX_SOURCES sources.
+cycle is made in one task from one row a source, in time that grows with slots times sources.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_ROWS, RANGE_ROWS, MAX_SOURCES = 8, 5_000, 1000
+#: Up to BROADCAST_SOURCES sources, a cycle goes to every task.
+BLOCK_ROWS, RANGE_ROWS, BROADCAST_SOURCES = 8, 5_000, 1000
 
 
 def parts_of(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
@@ -48,9 +49,9 @@ def cycle(parts: DataFrame) -> DataFrame:
 
     def step(state, t):
         dues = F.zip_with(state["k"], F.col("s"), lambda k, x: due(k, x, t))
-        pick = F.array_position(dues, F.array_min(dues))
-        after = F.transform(state["k"], lambda k, i: k + (i + 1 == pick).cast("bigint"))
-        return F.struct(after.alias("k"), F.concat(state["picks"], F.array(pick)).alias("picks"))
+        pick = F.transform(F.array(dues), lambda d: F.array_position(d, F.array_min(d)))[0]
+        # In an array of one, the pick is worked out once and not again for each source.
+        return F.transform(F.array(pick), lambda p: F.struct(F.transform(state["k"], lambda k, i: k + (i + 1 == p).cast("bigint")).alias("k"), F.concat(state["picks"], F.array(p)).alias("picks")))[0]
 
     start = F.struct(F.transform("s", lambda x: F.lit(0).cast("bigint")).alias("k"), F.array().cast("array<bigint>").alias("picks"))
     slots = F.aggregate(F.when(F.col("q") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("q") - 1)).otherwise(F.array().cast("array<bigint>")), start, step, lambda a: a["picks"])
@@ -61,8 +62,7 @@ def cycle(parts: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows with `_block`, their block's number in its source, and `_slot`, where that block goes."""
     span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("c"), F.count_distinct("source").alias("sources")).first()
-    if span["sources"] > MAX_SOURCES:
-        raise ValueError(f"{span['sources']} sources; at most {MAX_SOURCES} can be mixed")
+    few = F.broadcast if span["sources"] <= BROADCAST_SOURCES else lambda rows: rows
     width = max(1, ((span["hi"] - span["lo"] + 1) * RANGE_ROWS // max(1, span["c"])) if span["c"] else 1)
     rows = docs.withColumn("_range", F.coalesce(F.floor((F.col("doc_id") - F.lit(span["lo"] or 0)) / width), F.lit(-1)))
     before = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -70,9 +70,9 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
     own = W.partitionBy("source", "_range").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     numbered = rows.withColumn("_n", F.row_number().over(own) - 1).join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     blocks = numbered.withColumn("_block", F.floor((F.col("_start") + F.col("_n")) / block_rows)).drop("_s", "_r", "_range", "_n", "_start")
-    # One row for each part of each source, 100 a source and MAX_SOURCES sources at most: small whatever the input.
-    slots = F.broadcast(cycle(parts_of(docs, weights)).select(F.col("source").alias("_s"), F.col("n").alias("_parts"), "q", "t", "k"))
-    per = F.broadcast(parts_of(docs, weights).select(F.col("source").alias("_s2"), F.col("n").alias("_n")))
+    # One row for each part of each source, 100 a source at most.
+    slots = few(cycle(parts_of(docs, weights)).select(F.col("source").alias("_s"), F.col("n").alias("_parts"), "q", "t", "k"))
+    per = few(parts_of(docs, weights).select(F.col("source").alias("_s2"), F.col("n").alias("_n")))
     placed = blocks.join(per, F.col("source").eqNullSafe(F.col("_s2"))).withColumn("_k", F.pmod("_block", "_n"))
     placed = placed.join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("k")))
     return placed.withColumn("_slot", F.floor(F.col("_block") / F.col("_n")) * F.col("q") + F.col("t")).select(*docs.columns, "_block", "_slot")
