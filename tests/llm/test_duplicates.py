@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,58 @@ def test_a_large_group_of_near_copies(docs_of):
     assert [got[i] for i in range(len(texts))] == roots
 
 
+def plain_roots(texts, percent=80):
+    """The components of many near copies by products of incidence matrices."""
+    sets = [set(zip(w, w[1:])) for w in map(str.split, texts)]
+    places = {}
+    for g in sets:
+        for x in g:
+            places.setdefault(x, len(places))
+    m = np.zeros((len(sets), len(places)), np.float32)
+    for i, g in enumerate(sets):
+        m[i, [places[x] for x in g]] = 1
+    n, links = m.sum(axis=1), []
+    for at in range(0, len(m), 500):
+        both = m[at : at + 500] @ m.T
+        links += [(a + at, b) for a, b in zip(*np.nonzero(100 * both >= percent * (n[at : at + 500, None] + n - both)), strict=True) if a + at > b]
+    return unions(len(sets), links)
+
+
+@pytest.mark.parametrize(("n", "part"), [(4000, minhash.BY_SKETCH), (1500, 100)])
+def test_many_near_copies_of_one_text(docs_of, n, part, monkeypatch):
+    """A hub whose rows are partly too far from it and from each other, also when it is dealt to many cells."""
+    monkeypatch.setattr(minhash, "BY_SKETCH", part)
+    monkeypatch.setattr(minhash, "BY_SET", part // 4)
+    r, texts = random.Random(6), []
+    for _ in range(n):
+        w = [f"w{i}" for i in range(70)]
+        for _ in range(r.randrange(9)):
+            w[r.randrange(70)] = f"x{r.randrange(30)}"
+        texts.append(" ".join(w))
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs_of(texts), 2).collect()}
+    assert [got[i] for i in range(n)] == plain_roots(texts)
+
+
+def test_cells_take_little_memory():
+    """The largest cell, with every row in a component of its own."""
+    r, n = np.random.default_rng(1), 2 * minhash.BY_SKETCH
+    t = pa.table({
+        "b": np.arange(n), "n": np.full(n, 100), "root": np.arange(n), "lo": np.full(n, 0.1), "hi": np.full(n, 0.3), "p": np.arange(n) % 2, "i": np.zeros(n, int), "j": np.ones(n, int),
+        "sketch": pa.array([x.tobytes() for x in r.integers(0, 255, (n, 32), dtype=np.uint8)], pa.binary()),
+    })
+    tracemalloc.start()
+    assert not minhash.open_rows(t, 80).any()
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+
+
+def test_sketches_differ_by_places():
+    r = np.random.default_rng(2)
+    four = r.integers(0, 3, (6, 64), dtype=np.uint8)
+    packed = (four[:, ::2] | four[:, 1::2] << 4).copy().view(np.uint64)
+    assert (minhash.differences(packed[:4], packed[2:]) == (four[:4, None] != four[None, 2:]).sum(axis=2)).all()
+
+
 def test_near_duplicates_of_nothing(docs_of, spark):
     assert minhash.near_duplicates(docs_of([])).count() == 0
     twice = docs_of(["a b c", None]).union(docs_of(["a b c", None]))

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 #: What separates words in every operator of this package: space and U+0009 to U+000D.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 _RATE = 1_000_000
-#: Rows in one Arrow batch, so that a batch of very long texts still fits in a worker's memory.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch, so that a batch of very long texts still fits in a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,15 +42,18 @@ def bounded_sample(rows: DataFrame, group: str, size: int, key: str = "doc_id")
     return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(_RATE)) < rate[F.col(group)])
 
 
-def map_batches(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow in batches of BATCH_ROWS rows at most, so that memory follows single texts and not Spark's batches."""
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of what Spark hands to a Python worker at once, in rows and in bytes, to ours."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                yield batch.slice(at, BATCH_ROWS)
 
-    return rows.mapInArrow(lambda batches: work(cut(batches)), schema)
+def map_batches(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_ROWS rows, closed after the row that passes BATCH_BYTES, so that a worker's memory follows single texts."""
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(work, schema)
 
 
 def keep_rows(rows: DataFrame, keep: Callable[[list[str | None]], list[bool]] , text: str = "text") -> DataFrame:

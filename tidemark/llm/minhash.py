@@ -12,8 +12,9 @@ Links are confirmed on the full sets. Then documents with a hub in common that a
 unless something rules it out: the ratio of their sizes, the distances of both to the hub (1 - Jaccard similarity is a
 metric, so their own distance is at least the difference), or sketches of four bits of 64 minima, which differ in more
 than MAX_DIFFERENT places less than once in 100,000 pairs of similarity 0.8. These comparisons happen inside cells of a bounded
-number of rows of a hub, so that no table of pairs arises; what comes out is one link for any two components that have
-one. So no candidate of the tables goes unexamined, whatever the size of a bucket.
+number of rows of a hub, a block of rows at a time, so that no table of pairs arises; rows of a hub's largest component
+aren't compared with each other, so the work grows with the rows outside it times all rows. What comes out is one link
+for any two components that have one. So no candidate of the tables goes unexamined, whatever the size of a bucket.
 
 Defined results: null and empty texts, and those without words, have an empty set and link with nothing; a null id is
 never linked and keeps null as component. An id stands for one node, also when it comes with several texts.
@@ -22,6 +23,7 @@ never linked and keeps null as component. An id stands for one node, also when i
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,11 @@ from .components import components
 from .words import LOWER, mix, word_hashes
 
 M, ROWS, SEED, BROADCAST_IDS = 12, 3, 20, 500_000
-#: Minima in a sketch; how many may differ; rows of one hub that are compared in one place, by sketch and by set.
-SKETCH, MAX_DIFFERENT, BY_SKETCH, BY_SET = 64, 28, 4096, 512
+#: Minima in a sketch; how many may differ.
+SKETCH, MAX_DIFFERENT = 64, 28
+#: Rows of one hub in a part of a cell, by sketch and by set, and elements of their sets; rows compared at once with a part.
+BY_SKETCH, BY_SET, ITEMS, BLOCK_ROWS = 4096, 512, 1 << 20, 32
+_NO_ITEMS, _LOWEST = 1 << 62, np.uint64(0x1111111111111111)
 _RNG = np.random.default_rng(SEED)
 _MUL = _RNG.integers(0, 2**63, 2 * M * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, 2 * M * ROWS, dtype=np.uint64)
@@ -70,7 +75,7 @@ def keys(low: np.ndarray) -> tuple[np.ndarray, bytes]:
     for r in range(ROWS):
         h = mix(h * np.uint64(5) + parts[:, r])
     four = (mix(low[:SKETCH]) >> np.uint64(60)).astype(np.uint8)
-    return h.view(np.int64), four.tobytes()
+    return h.view(np.int64), (four[::2] | four[1::2] << 4).tobytes()
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
@@ -131,63 +136,113 @@ def similarity(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return common.map_batches(both.select("a", "b", "set_a", "set_b"), compare, "a bigint, b bigint, both bigint, either bigint")
 
 
-def cells(spokes: DataFrame, size: int) -> DataFrame:
-    """Deals each hub's rows so that any two of them meet in a cell (hub, i, j) of about 2 * size rows."""
-    counts = spokes.groupBy("hub").agg(F.ceil(F.count("*") / size).alias("k"))
-    dealt = spokes.join(counts, "hub").withColumn("p", F.pmod(F.xxhash64("b", F.lit(9)), F.col("k"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
-    return dealt.withColumn("i", F.least("p", "o")).withColumn("j", F.greatest("p", "o")).drop("k", "p", "o")
-
-
-def _pending(t: pa.Table, percent: int) -> np.ndarray:
-    """Row by column: which two rows of a cell are in different components and may be similar."""
-    root, n, lo, hi = (t.column(c).to_numpy() for c in ("root", "n", "lo", "hi"))
-    reach = 1 - percent / 100 + 1e-9
-    open_ = root[:, None] != root[None, :]
-    open_ &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-    open_ &= (lo[:, None] - hi[None, :] <= reach) & (lo[None, :] - hi[:, None] <= reach)
-    return open_
+def cells(spokes: DataFrame, rows: int, items: int) -> DataFrame:
+    """Deals each hub's rows so that any two of them that aren't both of its largest component meet in one cell.
+
+    A hub's rows go to parts of about `rows` rows and `items` set elements; the parts of its largest component (whose
+    rows need no comparing with each other) come after the others. Cell (hub, i, j) holds the parts i and j, `p` says
+    which row is in which; i is never a part of the largest component.
+    """
+    by_root = spokes.groupBy("hub", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = by_root.groupBy("hub").agg(F.max(F.struct("c", (-F.col("root")).alias("r"), "s")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    parts = lambda c, s: F.ceil(F.greatest(c / rows, s / items))
+    few = most.select("hub", (-F.col("m.r")).alias("main"), parts(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("k"), parts(F.col("m.c"), F.col("m.s")).alias("k_main"))
+    dealt, main = spokes.join(few, "hub"), F.col("root") == F.col("main")
+    dealt = dealt.withColumn("p", F.pmod(F.xxhash64("b", F.lit(9)), F.when(main, F.col("k_main")).otherwise(F.col("k"))) + F.when(main, F.col("k")).otherwise(0))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1 + F.when(main, 0).otherwise(F.col("k_main")))))
+    return dealt.withColumn("i", F.least("p", "o")).withColumn("j", F.greatest("p", "o")).drop("main", "k", "k_main", "o")
+
+
+class Cell:
+    """A cell's rows: those of part i, each to be compared with those of part j, BLOCK_ROWS at a time."""
+
+    def __init__(self, t: pa.Table, percent: int):
+        self.percent, self.reach = np.int64(percent), np.float32(1 - percent / 100 + 1e-6)
+        self.b, self.root, self.n = (t.column(c).to_numpy() for c in ("b", "root", "n"))
+        self.lo, self.hi = (t.column(c).to_numpy().astype(np.float32) for c in ("lo", "hi"))
+        part, i, j = t.column("p").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        self.left, self.right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Some rows of the left, and for each of them and each row on the right whether the two are in different components and may be similar."""
+        r = self.right
+        for at in range(0, len(self.left), BLOCK_ROWS):
+            x = self.left[at : at + BLOCK_ROWS]
+            open_ = self.root[x][:, None] != self.root[r]
+            for i, k in enumerate(x):
+                open_[i] &= (100 * self.n[r] >= self.percent * self.n[k]) & (100 * self.n[k] >= self.percent * self.n[r])
+                open_[i] &= (self.lo[r] - self.hi[k] <= self.reach) & (self.lo[k] - self.hi[r] <= self.reach)
+            yield x, open_
+
+
+def differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places the sketches of the rows of x differ from those of y, row by column."""
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for w in range(x.shape[1]):
+        d = x[:, w, None] ^ y[None, :, w]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        d &= _LOWEST
+        out += np.bitwise_count(d)
+    return out
+
+
+def open_rows(t: pa.Table, percent: int) -> np.ndarray:
+    """Which rows of a cell may be similar to one that they are to be compared with."""
+    cell, keep = Cell(t, percent), np.zeros(t.num_rows, bool)
+    sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+    for x, open_ in cell.blocks():
+        if open_.any():
+            open_ &= differences(sketches[x], sketches[cell.right]) <= MAX_DIFFERENT
+            keep[x] |= open_.any(axis=1)
+            keep[cell.right] |= open_.any(axis=0)
+    return keep
 
 
 def still_open(spokes: DataFrame, percent: int) -> DataFrame:
     """The rows that may be similar to another one with the same hub, as far as sizes, distances and sketches tell."""
 
     def look(t: pa.Table) -> pa.Table:
-        open_ = _pending(t, percent)
-        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        keep = np.zeros(len(open_), bool)
-        for x in np.flatnonzero(open_.any(axis=1)):
-            other = np.flatnonzero(open_[x])
-            other = other[(sketches[other] != sketches[x]).sum(axis=1) <= MAX_DIFFERENT]
-            keep[other] = True
-            keep[x] |= len(other) > 0
-        return t.filter(pa.array(keep)).select(["hub", "b", "n", "root", "lo", "hi"])
-
-    return cells(spokes, BY_SKETCH).groupBy("hub", "i", "j").applyInArrow(look, "hub bigint, b bigint, n bigint, root bigint, lo double, hi double").distinct()
+        return t.filter(pa.array(open_rows(t, percent))).select(["hub", "b", "n", "root", "lo", "hi"])
+
+    return cells(spokes, BY_SKETCH, _NO_ITEMS).groupBy("hub", "i", "j").applyInArrow(look, "hub bigint, b bigint, n bigint, root bigint, lo double, hi double").distinct()
+
+
+def links_of(t: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between the components of a cell's rows, on the full sets: one for any two components."""
+    cell, links, joined = Cell(t, percent), [], set()
+    sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+    lengths = np.array([len(sets[y]) for y in cell.right])
+    words, flat = np.unique(np.concatenate([sets[y] for y in cell.right]), return_inverse=True) if len(lengths) else (np.zeros(0, np.uint64), np.zeros(0, int))
+    flat, starts, mark = flat.astype(np.int32), np.cumsum(lengths) - lengths, np.zeros(len(words), np.int32)
+    roots = cell.root[cell.right]
+    for rows, open_ in cell.blocks():
+        for i in np.flatnonzero(open_.any(axis=1)):
+            x = rows[i]
+            known = [y for a, y in joined if a == cell.root[x]]
+            todo = open_[i] & ~np.isin(roots, known) if known else open_[i]
+            if not todo.any():
+                continue
+            at = np.searchsorted(words, sets[x])
+            at = at[at < len(words)]
+            mine = at[np.isin(words[at], sets[x])]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[flat], starts).astype(np.int64)
+            mark[mine] = 0
+            found = np.flatnonzero(todo & (100 * both >= percent * (lengths + len(sets[x]) - both)))
+            found = found[np.unique(roots[found], return_index=True)[1]]
+            links += [(int(cell.b[x]), int(cell.b[cell.right[y]])) for y in found]
+            joined |= {(cell.root[x], roots[y]) for y in found}
+    return links
 
 
 def compared(spokes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between components that the rows of one hub give, on the full sets: one for any two components in a cell."""
+    """Links (a, b) between components that the rows of one hub give, on the full sets."""
     own = with_sets(docs, spokes.select(F.col("b").alias("id")).distinct(), size)
-    met = cells(spokes, BY_SET).join(own.withColumnRenamed("id", "b"), "b")
+    met = cells(spokes, BY_SET, ITEMS).join(own.withColumnRenamed("id", "b"), "b")
 
     def look(t: pa.Table) -> pa.Table:
-        open_ = _pending(t, percent)
-        b, root = t.column("b").to_numpy(), t.column("root").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
-        lengths = np.array([len(x) for x in sets])
-        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.cumsum(lengths) - lengths
-        largest = np.bincount(np.unique(root, return_inverse=True)[1]).argmax()
-        small = np.unique(root, return_inverse=True)[1] != largest
-        links, mark = [], np.zeros(len(flat), bool)
-        for x in np.flatnonzero(open_.any(axis=1) & small):
-            mine = flat[starts[x] : starts[x] + lengths[x]]
-            mark[mine] = True
-            both = np.add.reduceat(mark[flat].astype(np.int64), starts)
-            mark[mine] = False
-            found = np.flatnonzero(open_[x] & (100 * both >= percent * (lengths + lengths[x] - both)))
-            found = found[np.unique(root[found], return_index=True)[1]]
-            links += [(int(b[x]), int(b[y])) for y in found]
+        links = links_of(t, percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return met.groupBy("hub", "i", "j").applyInArrow(look, "a bigint, b bigint").distinct()
