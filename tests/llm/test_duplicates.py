@@ -264,6 +264,60 @@ def test_mixing_keeps_to_its_targets(docs_of):
         assert all(abs(seen[k] - target[k] * (s + 1)) < 1 for k in seen), (s, seen)
 
 
+def plain_slots(parts):
+    """Earliest deadline first, slot by slot: (source, k) by slot for one cycle."""
+    q, at, out = sum(parts.values()), dict.fromkeys(parts, 0), []
+    order = sorted(parts, key=lambda s: (s is None, s or ""))
+    for t in range(q):
+        free = [(-(-(at[s] + 1) * q // parts[s]), i) for i, s in enumerate(order) if at[s] * q < (t + 1) * parts[s]]
+        s = order[min(free)[1]]
+        out.append((s, at[s]))
+        at[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("parts", [{"a": 5, "b": 3, "c": 2, None: 1}, {"a": 6, "b": 4, "c": 4, "d": 4, "e": 2, None: 4}, {f"s{i}": 1 + i * 7 % 23 for i in range(60)}])
+def test_cycle_is_earliest_deadline_first(spark, parts):
+    got = {r["source"]: r for r in mixing.cycle(spark.createDataFrame(list(parts.items()), "source string, n bigint")).collect()}
+    q = sum(parts.values())
+    slots = {}
+    for s, r in got.items():
+        assert parts[s] % r["n"] == 0 and q % r["q"] == 0 and q // r["q"] == parts[s] // r["n"]
+        for turn in range(q // r["q"]):
+            slots |= {turn * r["q"] + t: (s, turn * r["n"] + k) for k, t in enumerate(r["slots"])}
+    assert [slots[t] for t in range(q)] == plain_slots(parts)
+
+
+def test_a_thousand_sources(docs_of):
+    rows = mixing.mix(docs_of(["t"] * 6000, source=[f"s{i % 1200}" for i in range(6000)]), block_rows=1).collect()
+    assert sorted(r["_slot"] for r in rows) == list(range(6000))
+    assert all(r["_slot"] // 1200 == r["_block"] for r in rows)
+
+
+def test_mixing_keeps_columns_with_its_own_names(docs_of):
+    names = ["k", "q", "t", "n", "s", "id", "h", "r", "row", "at", "start", "block", "slots", "s_", "r_", "pos", "_k", "_range", "_parts", "_c", "a.b"]
+    docs = docs_of(["x", "y", None] * 5, source=["a", "b", None] * 5)
+    for i, c in enumerate(names):
+        docs = docs.withColumn(c, F.lit(700 + i))
+    out = mixing.mix(docs.withColumn("_block", F.lit(7)).withColumn("_slot", F.lit(8)))
+    assert out.columns == [*docs.columns, "_block", "_slot"]
+    rows = out.drop("_block", "_slot").collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, docs.collect())) and all(r["_n"] == 1 for r in rows)
+    assert {r["_slot"] for r in out.collect()} == {0, 1, 2}
+    assert sorted(map(repr, mixing.stage(None, docs, "").collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_mixing_uneven_ids(docs_of, monkeypatch):
+    """Ids at both ends of the range, crowded ids and null ones: numbered as a sort by id would."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    docs = docs_of([str(i) for i in range(400)])
+    id_ = F.when(F.col("doc_id") == 0, F.lit(-(1 << 63))).when(F.col("doc_id") == 1, F.lit((1 << 63) - 1)).when(F.col("doc_id") % 4 != 2, F.col("doc_id"))
+    rows = mixing.mix(docs.withColumn("doc_id", id_), block_rows=1).collect()
+    assert sorted(r["_slot"] for r in rows) == list(range(400))
+    ids = [r["doc_id"] for r in sorted(rows, key=lambda r: r["_slot"])]
+    assert ids[:100] == [None] * 100 and ids[100:] == sorted(ids[100:])
+
+
 def test_mixing_odd_tables(docs_of):
     assert mixing.mix(docs_of([])).count() == 0
     docs = docs_of(["t", None, ""], source=[None, "", "x"])

@@ -3,31 +3,47 @@
 A source with n of the q parts of a cycle owes one block every q / n slots: its block k (from 0) is released at
 slot floor(k q / n) and due before slot ceil((k + 1) q / n). Each slot takes, of the released blocks, the one with
 the earliest deadline (equal ones: by source name). Then no source is ever a whole block ahead of its target or
-behind it. The pattern repeats every q slots, so it is worked out for one cycle only and every document finds its
-slot by division: no step goes through the documents one after another.
+behind it. The pattern repeats every q slots (of whole numbers without a common divisor), so it is worked out for one cycle only
+and every document finds its slot by division: no step goes through the documents one after another. Sources with the
+same n have the same releases and deadlines, so among them the blocks come in order of (k, name), and a cycle takes one
+counter for each different n: without given weights 100 at most, whatever the number of sources.
 
 A block is BLOCK_ROWS documents of one source in order of doc_id. To number a source's rows without gathering a
-large source in one task, rows are counted in ranges of doc_id first; a row's number is the count of the ranges
-before its own plus its place in that range.
+large source in one task, rows are counted in ranges of doc_id first, cut at quantiles; a row's number is the count of
+the ranges before its own plus its place in that range.
 
 Nothing is dropped: when a source runs out, its slots stay empty and the rest go on in slot order.
 
 Defined results: a null source is a source of its own, last in name order of ties; null ids come first in their
-source; rows with equal ids are in order of the text's hash; an empty table gives no rows. The weights are whole
-numbers; without any, a source gets round(100 * sqrt(rows / rows of the largest source)) parts, at least 1. The
-cycle is made in one task from one row a source, in time that grows with slots times sources.
+source; rows with equal ids are in order of the text's hash; an empty table gives no rows; columns may have any names,
+but those named `_block` or `_slot` are replaced. The weights are whole numbers; without any, a source gets
+round(100 * sqrt(rows / rows of the largest source)) parts, at least 1. The cycle is made in one task from one row
+for each different n, in time that grows with its slots. Rows alike in source and id are numbered in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Up to BROADCAST_SOURCES sources, a cycle goes to every task.
-BLOCK_ROWS, RANGE_ROWS, BROADCAST_SOURCES = 8, 5_000, 1000
+#: Rows of a block; rows that a range is meant to have, and the most ranges; up to so many sources, the cycle goes to every task.
+BLOCK_ROWS, RANGE_ROWS, MAX_RANGES, BROADCAST_SOURCES = 8, 1_000, 4_095, 10_000
+#: Picks are gathered in arrays of so many, as each addition copies its array.
+_PICKS = 256
+
+
+def _div(a: Column, b: Column) -> Column:
+    """The whole part of a / b, for a >= 0."""
+    return ((a - a % b) / b).cast("bigint")
+
+
+def _gcd(a: Column, b: Column) -> Column:
+    """The largest common divisor; 90 steps are enough for any two 64-bit numbers."""
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(90)), F.struct(a.alias("a"), b.alias("b")), step, lambda s: s["a"])
 
 
 def parts_of(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
@@ -40,42 +56,70 @@ def parts_of(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFram
 
 
 def cycle(parts: DataFrame) -> DataFrame:
-    """source, n, q and, for each of the source's n blocks k of a cycle, its slot t from 0 to q - 1."""
-    one = parts.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "n"))).alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("q"))
-
-    def due(k, x, t):
-        """Of a source's block k: its deadline if it is released by slot t."""
-        return F.when(k * F.col("q") < (t + 1) * x["n"], F.floor(((k + 1) * F.col("q") + x["n"] - 1) / x["n"]))
+    """source, its blocks n in a cycle, the cycle's slots q, and `slots`: for each of the n blocks, its slot from 0 to q - 1."""
+    by_name = W.orderBy(F.col("source").isNull(), "source")
+    named = parts.select("source", "n", F.row_number().over(by_name).alias("pos"))
+    # One row: for each different n, by `i`, the places in name order of the sources that have it.
+    lists = named.groupBy("n").agg(F.array_sort(F.collect_list("pos")).alias("pos"))
+    one = lists.agg(F.array_sort(F.collect_list(F.struct("n", "pos"))).alias("raw"))
+    one = one.withColumn("d", F.aggregate("raw", F.lit(0).cast("bigint"), lambda d, x: _gcd(d, x["n"])))
+    one = one.withColumn("g", F.transform("raw", lambda x, i: F.struct(_div(x["n"], F.col("d")).alias("n"), F.size(x["pos"]).cast("bigint").alias("size"), x["pos"].alias("pos"), i.alias("i"))))
+    one = one.select("g", F.aggregate("g", F.lit(0).cast("bigint"), lambda q, x: q + x["n"] * x["size"]).alias("q"))
+    # An aggregation, below which nothing of the following is pushed: it would be worked out anew at each step.
+    one = one.agg(F.first("g").alias("g"), F.first("q").alias("q"))
+
+    def head(x, j):
+        """The j-th block of the sources with this n: deadline and name order, by which blocks compare, and release."""
+        k, q = _div(j, x["size"]), F.col("q")
+        due, release = _div((k + 1) * q + x["n"] - 1, x["n"]), _div(k * q, x["n"])
+        return F.struct(due.alias("due"), F.get(x["pos"], (j % x["size"]).cast("int")).alias("pos"), x["i"].alias("i"), release.alias("release"), j.alias("j"))
 
     def step(state, t):
-        dues = F.zip_with(state["k"], F.col("s"), lambda k, x: due(k, x, t))
-        pick = F.transform(F.array(dues), lambda d: F.array_position(d, F.array_min(d)))[0]
-        # In an array of one, the pick is worked out once and not again for each source.
-        return F.transform(F.array(pick), lambda p: F.struct(F.transform(state["k"], lambda k, i: k + (i + 1 == p).cast("bigint")).alias("k"), F.concat(state["picks"], F.array(p)).alias("picks")))[0]
-
-    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("bigint")).alias("k"), F.array().cast("array<bigint>").alias("picks"))
-    slots = F.aggregate(F.when(F.col("q") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("q") - 1)).otherwise(F.array().cast("array<bigint>")), start, step, lambda a: a["picks"])
-    rows = one.select("s", "q", F.posexplode(slots).alias("t", "pick")).select(F.expr("s[pick - 1].source").alias("source"), F.expr("s[pick - 1].n").alias("n"), "q", "t")
-    return rows.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy("t")) - 1)
+        pick = F.array_min(F.filter(state["heads"], lambda h: h["release"] <= t))["i"]
+        full = F.size(state["last"]) >= _PICKS
+        # In an array of one, the pick is worked out once and not again for each use.
+        return F.transform(F.array(pick), lambda p: F.struct(
+            F.transform(state["heads"], lambda h: F.when(h["i"] == p, head(F.get("g", p), h["j"] + 1)).otherwise(h)).alias("heads"),
+            F.when(full, F.concat(state["done"], F.array(state["last"]))).otherwise(state["done"]).alias("done"),
+            F.when(full, F.array(p)).otherwise(F.concat(state["last"], F.array(p))).alias("last")))[0]
+
+    start = F.struct(F.transform("g", lambda x: head(x, F.lit(0).cast("bigint"))).alias("heads"), F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("last"))
+    every = F.when(F.col("q") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("q") - 1)).otherwise(F.array().cast("array<bigint>"))
+    picks = F.aggregate(every, start, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["last"]))))
+    taken = one.select("g", "q", picks.alias("picks")).select("q", F.posexplode_outer("picks").alias("t", "i"), F.expr("g[i].n").alias("n"), F.expr("g[i].size").alias("size"), F.expr("g[i].pos").alias("all_pos")).where("t IS NOT NULL")
+    taken = taken.withColumn("j", F.row_number().over(W.partitionBy("i").orderBy("t")) - 1)
+    owned = taken.select("q", "n", "t", F.expr("all_pos[j % size]").alias("pos")).groupBy("pos", "n", "q").agg(F.array_sort(F.collect_list(F.col("t").cast("bigint"))).alias("slots"))
+    return owned.join(named.select("source", "pos"), "pos").select("source", "n", "q", "slots")
+
+
+def _range_of(docs: DataFrame, rows: int) -> Column:
+    """The number of the range of ids that a row is in; null ids come before, in ranges by the text's hash."""
+    cuts = min(MAX_RANGES, rows // RANGE_ROWS)
+    found = docs.agg(F.percentile_approx("doc_id", [(i + 1) / (cuts + 1) for i in range(cuts)], 4 * MAX_RANGES)).first()[0] if cuts else None
+    bounds = F.array(*[F.lit(x).cast("bigint") for x in sorted(set(found or ()))])
+    # A search by halves among the bounds, which are MAX_RANGES at most.
+    look = lambda low, bit: F.when(F.coalesce(F.get(bounds, low + bit - 1) <= F.col("id"), F.lit(False)), low + bit).otherwise(low)
+    place = F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range(MAX_RANGES.bit_length()))]), F.lit(0), look) if found else F.lit(0)
+    return F.when(F.col("id").isNull(), F.shiftright("h", 52).cast("int") - 10_000).otherwise(place)
 
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows with `_block`, their block's number in its source, and `_slot`, where that block goes."""
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("c"), F.count_distinct("source").alias("sources")).first()
-    few = F.broadcast if span["sources"] <= BROADCAST_SOURCES else lambda rows: rows
-    width = max(1, ((span["hi"] - span["lo"] + 1) * RANGE_ROWS // max(1, span["c"])) if span["c"] else 1)
-    rows = docs.withColumn("_range", F.coalesce(F.floor((F.col("doc_id") - F.lit(span["lo"] or 0)) / width), F.lit(-1)))
-    before = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = rows.groupBy("source", "_range").agg(F.count("*").alias("_c")).withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_start")
-    own = W.partitionBy("source", "_range").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    numbered = rows.withColumn("_n", F.row_number().over(own) - 1).join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    blocks = numbered.withColumn("_block", F.floor((F.col("_start") + F.col("_n")) / block_rows)).drop("_s", "_r", "_range", "_n", "_start")
-    # One row for each part of each source, 100 a source at most.
-    slots = few(cycle(parts_of(docs, weights)).select(F.col("source").alias("_s"), F.col("n").alias("_parts"), "q", "t", "k"))
-    per = few(parts_of(docs, weights).select(F.col("source").alias("_s2"), F.col("n").alias("_n")))
-    placed = blocks.join(per, F.col("source").eqNullSafe(F.col("_s2"))).withColumn("_k", F.pmod("_block", "_n"))
-    placed = placed.join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("k")))
-    return placed.withColumn("_slot", F.floor(F.col("_block") / F.col("_n")) * F.col("q") + F.col("t")).select(*docs.columns, "_block", "_slot")
+    kept = [c for c in docs.columns if c not in ("_block", "_slot")]
+    seen = docs.agg(F.count("*").alias("rows"), F.count_distinct("source").alias("sources")).first()
+    # The table's own columns travel in a struct, so that their names can't clash with those made here.
+    rows = docs.select(F.col("source").alias("s"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    rows = rows.withColumn("r", _range_of(docs, seen["rows"]))
+    before = W.partitionBy("s").orderBy("r").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("s", "r").agg(F.count("*").alias("c")).select(F.col("s").alias("s_"), F.col("r").alias("r_"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    own = W.partitionBy("s", "r").orderBy(F.col("id").asc_nulls_first(), "h")
+    numbered = rows.withColumn("at", F.row_number().over(own) - 1).join(starts, F.col("s").eqNullSafe(F.col("s_")) & (F.col("r") == F.col("r_")))
+    blocks = numbered.select("s", "row", F.floor((F.col("start") + F.col("at")) / block_rows).alias("block"))
+    turns = cycle(parts_of(docs, weights)).withColumnRenamed("source", "s_")
+    turns = F.broadcast(turns) if seen["sources"] <= BROADCAST_SOURCES else turns
+    placed = blocks.join(turns, F.col("s").eqNullSafe(F.col("s_")))
+    slot = F.floor(F.col("block") / F.col("n")) * F.col("q") + F.get("slots", F.pmod("block", "n").cast("int"))
+    return placed.select("row.*", F.col("block").alias("_block"), slot.alias("_slot"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +129,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of their blocks' slots."""
-    return mix(docs).repartitionByRange("_slot", "doc_id").sortWithinPartitions("_slot", "doc_id").select(*docs.columns)
+    return mix(docs).repartitionByRange("_slot", "doc_id").sortWithinPartitions("_slot", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 OP10_SQL = f"""
