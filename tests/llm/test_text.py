@@ -3,6 +3,7 @@
 import random
 import re
 import struct
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -117,7 +118,9 @@ def agree(both, text):
     theirs, ours = both
     want, got = theirs.encode(text, add_special_tokens=False), ours.encode(text)
     assert list(struct.unpack(f"<{len(got) // 4}I", got)) == want.ids
-    assert ours.tokens(got) == theirs.decode(want.ids, skip_special_tokens=False)
+    for size in (1, 7, len(got) + 1):
+        state = ours.written()
+        assert "".join(state.push(got[i : i + size]) for i in range(0, len(got), size)) == theirs.decode(want.ids, skip_special_tokens=False)
 
 
 @settings(max_examples=400, deadline=None)
@@ -138,14 +141,34 @@ def test_random_long_words(both):
 
 
 def test_state_stays_small(both):
-    """After a million bytes of one word, what is held is still a few windows."""
-    ours = both[1]
-    held = []
-    for n, _ in enumerate(ours.stream(b"th" for _ in range(0))):
-        held.append(n)
-    stream = ours.stream(iter(b"internationalthequick" * 20_000))
-    taken = sum(1 for _ in stream)
-    assert taken > 20_000
+    """Over 400,000 bytes of one word, no more than a few windows are held at once, and tokens come out on the way."""
+    ours, taken, given_ = both[1], 0, 0
+    ours.most_held = 0
+
+    def blocks():
+        nonlocal given_
+        for _ in range(20_000):
+            given_ += 1
+            yield b"internationalthequick"
+
+    for taken, _ in enumerate(ours.stream(blocks()), 1):
+        if taken == 1000:
+            assert given_ < 2000
+    assert taken > 20_000 and 0 < ours.most_held <= 6 * ours.lookahead
+
+
+def test_a_long_text_is_held_in_pieces(both):
+    ours, theirs = both[1], both[0]
+    part = "the quick brown fox jumps over Σ the lazy dog\n" * 3000
+    assert b"".join(ours.encoded(part)) == struct.pack(f"<{len(i := theirs.encode(part, add_special_tokens=False).ids)}I", *i)
+    text, state, n = part * 60, ours.written(), 0
+    tracemalloc.start()
+    for raw in ours.encoded(text):
+        n += len(raw) // 4
+        state.push(raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1_500_000 and peak < 8 << 20
 
 
 def test_decoding_in_any_cuts(both):

@@ -7,12 +7,15 @@ Second, no token is longer than `lookahead` bytes, which the merge list tells: w
 `lookahead` places is the end of a token. Tokens on which the encodings up to all these places agree are stable
 and are put out; what must be remembered is only what comes after them.
 
-Decoding is a state machine over bytes: each token adds its bytes, characters come out when complete, and the state
-between two tokens is an unfinished character of up to three bytes.
+Decoding is a state machine over bytes. `Written` reads ids in any cuts and puts out the tokens as the vocabulary writes
+them, with blanks between, which is what the tokenizers library's decode() gives for a file without a decoder; its state
+is an unfinished id of up to three bytes, and whether a token came before. `Decoder` gives the text itself: each token adds
+its bytes, characters come out when complete, and the state between two tokens is an unfinished character of up to three bytes.
 
-The normal form, the pattern of words and the special tokens are read from the tokenizer's file, whose path is a
-parameter; nothing is trained. Words that came lately are remembered, up to CACHE of them. A word that is shorter
-than the stream's window ends before anything is stable, so it is solved at once, by the same two facts.
+A text is encoded in pieces of about PIECE characters, cut at blanks and line ends (where no word, special token or
+normal form goes across), and decoded piece by piece, so that neither its normal form nor its ids are held as a whole; a
+stretch without either is one piece. The normal form, the pattern of words and the special tokens are read from the
+tokenizer's file, whose path is a parameter; nothing is trained. Words that came lately are remembered, up to CACHE of them.
 
 Defined results: null and empty texts have no tokens; a special token's string in a text is that token, as the file
 says; a lone surrogate can't be in a Spark string.
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common, mixing
 
-CACHE, CACHED_LENGTH = 300_000, 40
+CACHE, CACHED_LENGTH, PIECE = 200_000, 40, 1 << 16
 _NEVER = 1 << 60
 
 
@@ -47,6 +50,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _sizes(tokens: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
+    """The lengths of the tokens that end with the same three bytes, longest first; one and two are always among them."""
+    found: dict[bytes, set[int]] = {}
+    for raw in tokens:
+        if len(raw) > 2:
+            found.setdefault(raw[-3:], {1, 2}).add(len(raw))
+    return {end: tuple(sorted(sizes, reverse=True)) for end, sizes in found.items()}
+
+
 class Bpe:
     """A vocabulary with word ends and ranked merges, read from a tokenizer's file."""
 
@@ -77,17 +89,16 @@ class Bpe:
             self.made[c] = r, a, b
         #: Sufficient: every `lookahead` bytes a token ends.
         self.lookahead = max(len(raw) for raw, _ in self.bytes.values())
-        #: The longest token by its first three bytes; shorter tokens aside.
-        self._reach: dict[bytes, int] = {}
-        for raw, _ in self.bytes.values():
-            self._reach[raw[:3]] = max(len(raw), self._reach.get(raw[:3], 2))
+        self._inner_sizes, self._final_sizes = _sizes(self.inner), _sizes(self.final)
+        #: The most bytes that a word's stream has held so far.
+        self.most_held = 0
+        self._cuts = not any(set(t) & {" ", "\n"} for t in self.special)
         self._fits: dict[tuple[int, int], bool] = {}
         split = next(p["pattern"]["Regex"] for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         #: \s of the file's pattern language is Unicode's White_Space, which here leaves U+001C to U+001F out.
         self._words = regex.compile(split.replace("[^\\s", "[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"))
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._chunks = _Memory(self._chunk)
-        self._seen = _Memory(self._word)
+        self._seen = _Memory(self._chunk)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the merges leave the border between these two tokens alone.
@@ -110,36 +121,45 @@ class Bpe:
                 left_until, _, a = by_left
             else:
                 right_until, b, _ = by_right
-        if len(self._fits) >= 4 * CACHE:
+        if len(self._fits) >= CACHE:
             self._fits.clear()
         self._fits[key] = good
         return good
 
-    def stream(self, word: Iterable[int]) -> Iterator[int]:
-        """Tokens of one word, given byte by byte, each as soon as it is stable."""
-        held = bytearray()  # since the last stable place
-        last: list[tuple[int, int]] = [(-1, 0)]  # by place in `held`: the token that ends there, and its length; first the token put out last
-        word = iter(word)
-        byte = next(word, None)
-        while byte is not None:
-            held.append(byte)
-            byte = next(word, None)
-            known, n = (self.inner if byte is not None else self.final), len(held)
-            for size in range(min(n, self.lookahead), 0, -1):
-                token = known.get(bytes(held[n - size :]))
-                if token is not None and (last[n - size][0] < 0 or self.fits(last[n - size][0], token)):
-                    last.append((token, size))
-                    break
-            if byte is None:
+    def stream(self, blocks: Iterable[bytes]) -> Iterator[int]:
+        """Tokens of one word, given in blocks of bytes, each as soon as it is stable."""
+        held = b""  # since the last stable place
+        last: dict[int, tuple[int, int]] = {0: (-1, 0)}  # by place in `held`, where asked for: the token that ends there, and its length; at 0 the token put out last
+        blocks = iter(blocks)
+        block = next(blocks, b"")
+        while block:
+            held += block
+            block, n = next(blocks, b""), len(held)
+            if not block:
+                self._ending(held, last, n, self.final, self._final_sizes)
                 yield from self._back(last, n)
             elif n >= 4 * self.lookahead:
-                stable = self._agreed(last, n)
-                if stable:
+                self.most_held = max(self.most_held, n)
+                for place in range(n - self.lookahead + 1, n + 1):
+                    if place not in last:
+                        self._ending(held, last, place, self.inner, self._inner_sizes)
+                if stable := self._agreed(last, n):
                     yield from self._back(last, stable)
-                    del held[:stable]
-                    last = [(last[stable][0], 0), *last[stable + 1 :]]
-
-    def _agreed(self, last: list[tuple[int, int]], n: int) -> int:
+                    held = held[stable:]
+                    last = {p - stable: x for p, x in last.items() if p > stable} | {0: (last[stable][0], 0)}
+
+    def _ending(self, held: bytes, last: dict[int, tuple[int, int]], n: int, known: dict[bytes, int], sizes: dict[bytes, tuple[int, ...]]) -> tuple[int, int]:
+        """The token that ends at place n: the one that fits the token before it."""
+        for size in sizes.get(held[max(0, n - 3) : n], (2, 1)):
+            if size <= n and (token := known.get(held[n - size : n])) is not None:
+                before = (last.get(n - size) or self._ending(held, last, n - size, self.inner, self._inner_sizes))[0]
+                good = before < 0 or self._fits.get((before, token))
+                if good or good is None and self.fits(before, token):
+                    last[n] = token, size
+                    return last[n]
+        raise ValueError("a byte without a token")
+
+    def _agreed(self, last: dict[int, tuple[int, int]], n: int) -> int:
         """The furthest place where a token ends in the encodings up to each of the last places."""
         places = set(range(n - self.lookahead + 1, n + 1))
         while len(places) > 1:
@@ -149,7 +169,7 @@ class Bpe:
         return places.pop()
 
     @staticmethod
-    def _back(last: list[tuple[int, int]], n: int) -> list[int]:
+    def _back(last: dict[int, tuple[int, int]], n: int) -> list[int]:
         out = []
         while n:
             token, size = last[n]
@@ -157,61 +177,46 @@ class Bpe:
             n -= size
         return out[::-1]
 
-    def _whole(self, word: bytes) -> list[int]:
-        """Tokens of a word that ends before the stream would put any out: longest first, back when neighbours don't fit.
-
-        Each place is given up once at most, as the encoding up to it is the only one.
-        """
-        inner, final, known, reach, n = self.inner, self.final, self._fits, self._reach, len(word)
-        tokens, starts, dead, at, size = [], [], set(), 0, min(n, reach.get(word[:3], 2))
-        while at < n:
-            before = tokens[-1] if tokens else -1
-            while size:
-                end = at + size
-                token = inner.get(word[at:end]) if end < n else final.get(word[at:])
-                if token is not None and end not in dead:
-                    if before < 0:
-                        break
-                    good = known.get((before, token))
-                    if good or good is None and self.fits(before, token):
-                        break
-                size -= 1
-            if size:
-                tokens.append(token)
-                starts.append(at)
-                at += size
-                size = min(n - at, reach.get(word[at : at + 3], 2))
-            else:
-                dead.add(at)
-                tokens.pop()
-                size, at = at - starts[-1] - 1, starts.pop()
-        return tokens
-
     def _word(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "replace")
-        ids = self._whole(raw) if len(raw) < 4 * self.lookahead else list(self.stream(raw))
+        raw, step = word.encode("utf-8", "replace"), self.lookahead
+        ids = list(self.stream(raw[i : i + step] for i in range(0, len(raw), step)))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         """A stretch without white space."""
-        return self._seen[chunk] if chunk.isalpha() else b"".join(map(self._seen.__getitem__, self._words.findall(chunk)))
+        if chunk.isalpha() or (first := self._words.match(chunk)) and first.end() == len(chunk):
+            return self._word(chunk)
+        return b"".join(self._seen[m[0]] for m in self._words.finditer(chunk))
+
+    def _pieces(self, text: str) -> Iterator[str]:
+        at = 0
+        while self._cuts and len(text) - at > PIECE:
+            cut = min((p for p in (text.find(c, at + PIECE) for c in " \n") if p >= 0), default=-1)
+            if cut < 0:
+                break
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
+
+    def encoded(self, text: str | None) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, piece by piece."""
+        for piece in self._pieces(text or ""):
+            out = []
+            for part in self._special.split(piece) if self._special else [piece]:
+                if part in self.special:
+                    out.append(struct.pack("<I", self.special[part]))
+                elif part:
+                    plain = part if part.isascii() else unicodedata.normalize("NFC", part)
+                    plain = plain.replace("Σ", "σ").lower()  # each letter by itself: no final sigma
+                    odd = any(c in plain for c in "\x1c\x1d\x1e\x1f")  # white space for split() alone
+                    out.extend(map(self._seen.__getitem__, [plain] if odd else plain.split()))
+            yield b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for part in (self._special.split(text or "") if self._special else [text or ""]):
-            if part in self.special:
-                out.append(struct.pack("<I", self.special[part]))
-            elif part:
-                plain = part if part.isascii() else unicodedata.normalize("NFC", part)
-                plain = plain.replace("Σ", "σ").lower()  # each letter by itself: no final sigma
-                odd = any(c in plain for c in "\x1c\x1d\x1e\x1f")  # white space for split() alone
-                out.extend(map(self._chunks.__getitem__, [plain] if odd else plain.split()))
-        return b"".join(out)
-
-    def tokens(self, ids: bytes) -> str:
-        """What the tokenizers library's decode() gives for a file without a decoder: the tokens as written, with blanks between."""
-        return " ".join(map(self.shown.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(self.encoded(text))
+
+    def written(self) -> Written:
+        return Written(self)
 
     def decoder(self) -> Decoder:
         return Decoder(self)
@@ -234,6 +239,23 @@ class _Memory(dict):
         return made
 
 
+class Written:
+    """The vocabulary's tokens with blanks between, from the bytes of ids, in any cuts."""
+
+    def __init__(self, bpe: Bpe):
+        self._shown, self._rest, self._blank = bpe.shown, b"", ""
+
+    def push(self, raw: bytes) -> str:
+        raw = self._rest + raw if self._rest else raw
+        whole = len(raw) & ~3
+        self._rest = raw[whole:]
+        if not whole:
+            return ""
+        text = self._blank + " ".join(map(self._shown.__getitem__, np.frombuffer(raw[:whole], "<u4").tolist()))
+        self._blank = " "
+        return text
+
+
 class Decoder:
     """Text from ids, in any cuts: words end with a blank; bytes that are no character become U+FFFD."""
 
@@ -284,19 +306,20 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids and of what they decode to."""
     path = path or vocabulary()
 
+    def digest(bpe: Bpe, text: str | None) -> tuple[int, str, str]:
+        n, ids, decoded, state = 0, hashlib.sha256(), hashlib.sha256(), bpe.written()
+        for raw in bpe.encoded(text):
+            n += len(raw) // 4
+            ids.update(raw)
+            decoded.update(state.push(raw).encode())
+        return n, ids.hexdigest(), decoded.hexdigest()
+
     def work(batches):
         bpe = load(path)
         for b in batches:
-            ids = [bpe.encode(t) for t in b.column(1).to_pylist()]
-            yield pa.record_batch(
-                [
-                    b.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(bpe.tokens(x).encode()).hexdigest() for x in ids], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            found = [digest(bpe, t) for t in b.column(1).to_pylist()]
+            n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return common.map_batches(docs.select("doc_id", "text"), work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
