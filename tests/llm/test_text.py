@@ -10,6 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import bpe, pii, quality_rules
 
 PATTERNS = {
@@ -219,6 +221,17 @@ def test_measures_are_taken_where_needed(docs_of):
     assert repeats.needs == ("n_words", "n_repeat_words")
 
 
+def test_dear_measures_are_not_taken_of_rejected_rows(docs_of, monkeypatch):
+    """A measure that fails on short texts: only rows that got past `few_words` may be asked for it."""
+    monkeypatch.setitem(quality_rules.MEASURES, "boom", (("n_words",), lambda: F.when(F.col("n_words") < 20, F.raise_error(F.lit("taken"))).otherwise(F.lit(1))))
+    dear = quality_rules.Rule("dear", ("boom",), "boom < 1")
+    docs = docs_of(["a b", None, "word " * 30])
+    got = quality_rules.cascade(docs, [quality_rules.RULES[0], dear]).select("doc_id", "failed_rule").collect()
+    assert [r["failed_rule"] for r in sorted(got)] == ["few_words", "few_words", None]
+    with pytest.raises(Exception, match="taken"):
+        quality_rules.cascade(docs, [dear, quality_rules.RULES[0]]).collect()
+
+
 def test_order_by_rejections_per_second(docs_of):
     docs = docs_of(["a b c"] * 30)
     assert quality_rules.order(docs)[0].name in ("few_words", "word_length")
