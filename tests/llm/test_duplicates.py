@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -249,6 +250,27 @@ def test_audit_widens_until_recall(monkeypatch):
     assert recall >= embeddings.RECALL and len(a) == (exact @ exact.T >= 0.95).sum()
 
 
+def test_graphs_in_parts_lose_no_links():
+    """Tight groups between which the graph may have no way: found by comparing with all, and in short time."""
+    r = np.random.default_rng(4)
+    x = np.repeat(r.normal(size=(4, 16)), 1500, axis=0) + 0.01 * r.normal(size=(6000, 16))
+    exact = x / np.linalg.norm(x, axis=1, keepdims=True)
+    g = hnsw.Graph.build(exact.astype(np.float32))
+    q = exact[::20]
+    began = time.perf_counter()
+    a, b, recall = embeddings.linked(g, exact, q, q.astype(np.float32), own=np.arange(0, 6000, 20))
+    assert recall == 1.0 and len(a) == (q @ exact.T >= 0.95).sum() and time.perf_counter() - began < 20
+
+
+def test_a_match_with_itself_is_no_link_found():
+    x = np.eye(40)
+    x[1] = x[0]
+    g = hnsw.Graph.build(x.astype(np.float32))
+    g.layers[0][:] = -1  # nothing can be found
+    a, b, recall = embeddings.linked(g, x, x, x.astype(np.float32), own=np.arange(40))
+    assert recall == 1.0 and {(0, 1), (1, 0)} <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_mixing_keeps_to_its_targets(docs_of):
     source = ["a"] * 500 + ["b"] * 300 + ["c"] * 200 + [None] * 40
     rows = mixing.mix(docs_of(["t"] * len(source), source=source), {"a": 5, "b": 3, "c": 2}, block_rows=4).collect()

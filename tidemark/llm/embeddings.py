@@ -1,9 +1,12 @@
 """Near-duplicate embeddings by a small-world graph per shard.
 
 Equal vectors are one point. Points are dealt to shards by a hash, each with a graph of its own, and every point is
-looked up in every shard, in blocks of BLOCK queries. A query whose whole beam is linked to it is looked up again with
-twice the beam, until the beam reaches past its links or holds the shard; and in each block AUDIT queries are compared
-with brute force, and all are looked up again with twice the beam until the share of true links found is RECALL. The cosine
+looked up in every shard, in blocks of BLOCK queries, each of which loads the shard's graph once. A query whose whole beam
+is linked to it is looked up again with twice the beam, until the beam reaches past its links; and in each block AUDIT
+queries, and as many of those that have links, are compared with brute force, and all are looked up again with twice the
+beam until the share of true links found, each query's match with itself aside, is RECALL. A beam of more than 1 / WIDEST
+of the shard would cost more than comparing with all of it, and couldn't cross from one part of a graph to another that
+isn't connected with it; so beyond that the queries are compared with the whole shard. The cosine
 of what was found is then computed in double precision. A task reports each query's number of links and, of the links
 themselves, a spanning forest only, so that a large group of copies never becomes a table of pairs.
 
@@ -22,7 +25,7 @@ from . import common
 from .components import components
 from .hnsw import BATCH, BEAM, Graph
 
-COSINE, SHARD_POINTS, LEAST_SHARDS, BLOCK, AUDIT, RECALL = 0.95, 50_000, 4, 4096, 48, 0.99
+COSINE, SHARD_POINTS, LEAST_SHARDS, BLOCK, AUDIT, RECALL, WIDEST = 0.95, 50_000, 4, 16_384, 48, 0.99, 8
 
 
 def _unit(rows: list[list[float]] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,34 +63,53 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = least
 
 
-def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, q32: np.ndarray, threshold: float = COSINE) -> tuple[np.ndarray, np.ndarray, float]:
-    """Rows of queries and points whose cosine is at least the threshold, and the recall of the last audit."""
+def _looked_up(graph: Graph, q32: np.ndarray, beam: int, low: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of queries and points that the graph gives as near, beams widened for queries with more links than a beam holds."""
+    n, pairs, todo = len(graph.points), [], np.arange(len(q32))
+    while len(todo) and beam * WIDEST <= n:
+        wide, step = [], max(1, min(BATCH, (1 << 24) // n))
+        for i in range(0, len(todo), step):
+            rows = todo[i : i + step]
+            ids, sims = graph.search(q32[rows], beam)
+            full = (sims[:, -1] >= low) & (ids[:, -1] >= 0)
+            wide.append(rows[full])
+            a, k = np.nonzero((sims >= low) & (ids >= 0) & ~full[:, None])
+            pairs.append((rows[a], ids[a, k]))
+        todo, beam = np.concatenate(wide), 2 * beam
+    for i in range(0, len(todo), max(1, (1 << 22) // n)):
+        rows = todo[i : i + max(1, (1 << 22) // n)]
+        a, b = np.nonzero(q32[rows] @ graph.points.T >= low)
+        pairs.append((rows[a], b))
+    return tuple(np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
+
+
+def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, q32: np.ndarray, threshold: float = COSINE, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Rows of queries and points whose cosine is at least the threshold, and the recall of the last audit.
+
+    `own` has the row of the point that each query is itself, or -1.
+    """
     low, n = np.float32(threshold - 1e-5), len(exact)
-    audit = np.random.default_rng(len(q)).choice(len(q), min(AUDIT, len(q)), replace=False)
-    truth = q[audit] @ exact.T >= threshold
-    beam = min(BEAM, n)
+    own = np.full(len(q), -1) if own is None else own
+    pick = np.random.default_rng(len(q))
+    audit = pick.choice(len(q), min(AUDIT, len(q)), replace=False)
+    beam, first = min(BEAM, n), True
     while True:
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        todo, width = np.arange(len(q)), beam
-        while len(todo):
-            wide = []
-            step = max(1, min(BATCH, (1 << 24) // n))
-            for i in range(0, len(todo), step):
-                rows = todo[i : i + step]
-                ids, sims = graph.search(q32[rows], width)
-                full = (sims[:, -1] >= low) & (ids[:, -1] >= 0) & (width < n)
-                wide.append(rows[full])
-                a, k = np.nonzero((sims >= low) & (ids >= 0) & ~full[:, None])
-                pairs.append((rows[a], ids[a, k]))
-            todo, width = np.concatenate(wide), min(2 * width, n)
-        a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-        true = np.concatenate([np.einsum("kd,kd->k", q[a[i : i + 65536]], exact[b[i : i + 65536]]) >= threshold for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
+        a, b = _looked_up(graph, q32, beam, low)
+        parts = [np.einsum("kd,kd->k", q[a[i : i + 65536]], exact[b[i : i + 65536]]) >= threshold for i in range(0, len(a), 65536)]
+        true = np.concatenate(parts) if parts else np.zeros(0, bool)
         a, b = a[true], b[true]
-        found = np.isin(a, audit).sum()
+        others = b != own[a]
+        if first:
+            have = np.unique(a[others])
+            audit = np.union1d(audit, pick.choice(have, min(AUDIT, len(have)), replace=False))
+            truth = q[audit] @ exact.T >= threshold
+            truth[np.arange(len(audit))[own[audit] >= 0], own[audit][own[audit] >= 0]] = False
+            first = False
+        found = (np.isin(a, audit) & others).sum()
         recall = 1.0 if not truth.sum() else found / truth.sum()
-        if recall >= RECALL or beam >= n:
+        if recall >= RECALL or beam * WIDEST > n:
             return a, b, float(recall)
-        beam = min(2 * beam, n)
+        beam = 2 * beam
 
 
 def links(pts: DataFrame, shards: int) -> DataFrame:
@@ -95,12 +117,12 @@ def links(pts: DataFrame, shards: int) -> DataFrame:
     rows = pts.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
 
     def build(table: pa.Table) -> pa.Table:
-        exact, unit = _unit(_matrix(table.column("embedding")))
-        g = Graph.build(unit)
+        raw = _matrix(table.column("embedding"))
+        g = Graph.build(_unit(raw)[1])
         return pa.table({
             "dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "entry": pa.array([g.entry], pa.int64()),
             "ids": pa.array([table.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()), "copies": pa.array([table.column("copies").to_numpy().astype(np.int64).tobytes()], pa.binary()),
-            "points": pa.array([exact.tobytes()], pa.binary()), "links": pa.array([[x.tobytes() for x in g.layers]], pa.list_(pa.binary())),
+            "points": pa.array([raw.tobytes()], pa.binary()), "links": pa.array([[x.tobytes() for x in g.layers]], pa.list_(pa.binary())),
         })
 
     graphs = common.checkpointed(rows.groupBy("dim", "shard").applyInArrow(build, "dim int, shard bigint, entry bigint, ids binary, copies binary, points binary, links array<binary>"))
@@ -114,11 +136,14 @@ def links(pts: DataFrame, shards: int) -> DataFrame:
             return schema.empty_table()
         g = {k: graph.column(k)[0].as_py() for k in ("entry", "ids", "copies", "points", "links")}
         ids, copies = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["copies"], np.int64)
-        exact = np.frombuffer(g["points"], np.float64).reshape(len(ids), -1)
+        dim = graph.column("dim")[0].as_py()
+        exact, unit = _unit(np.frombuffer(g["points"], np.float64 if len(g["points"]) == 8 * dim * len(ids) else np.float32).reshape(len(ids), dim))
         layers = [np.frombuffer(x, np.int32).reshape(len(ids), -1) for x in g["links"]]
         own = asked.column("id").to_numpy().astype(np.int64)
         q, q32 = _unit(_matrix(asked.column("embedding")))
-        a, b, recall = linked(Graph(exact.astype(np.float32), layers, g["entry"]), exact, q, q32)
+        sorted_, order = np.sort(ids), np.argsort(ids)
+        at = np.minimum(np.searchsorted(sorted_, own), len(ids) - 1)
+        a, b, recall = linked(Graph(unit, layers, g["entry"]), exact, q, q32, own=np.where(sorted_[at] == own, order[at], -1))
         other = own[a] != ids[b]
         a, b = a[other], b[other]
         found = np.bincount(a, weights=copies[b], minlength=len(own)).astype(np.int64)
@@ -133,16 +158,16 @@ def links(pts: DataFrame, shards: int) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row."""
+    """vec_id, n_links, component_id and kept of every row, and recall: the least that the audits of its queries found."""
     pts = common.checkpointed(points(vectors))
     shards = max(LEAST_SHARDS, -(-pts.count() // SHARD_POINTS))
     seen = common.checkpointed(links(pts, shards))
-    counts = seen.where("found is not null").groupBy("id").agg(F.sum("found").alias("found"))
+    counts = seen.where("found is not null").groupBy("id").agg(F.sum("found").alias("found"), F.min("recall").alias("recall"))
     roots = components(seen.where("root is not null").select("id", "root"), "id", "root")
-    about = pts.join(counts, "id", "left").join(roots, pts["id"] == roots["node"], "left").select("embedding", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component"))
+    about = pts.join(counts, "id", "left").join(roots, pts["id"] == roots["node"], "left").select("embedding", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component"), "recall")
     out = vectors.select("vec_id", "embedding").join(about, "embedding", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"), F.when(F.col("vec_id").isNotNull(), component).alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"), F.when(F.col("vec_id").isNotNull(), component).alias("component_id"), (F.col("vec_id") == component).alias("kept"), "recall")
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
