@@ -2,13 +2,14 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import delta, lsn, names
-from tidemark.operators import errors, monitor, publish, resolve, sync, verify
+from tidemark.operators import apply, errors, monitor, publish, resolve, sync, verify
 from tidemark.operators.catalog import Catalog, CatalogError
 from tidemark.sources import changes as ch
 from tidemark.streaming.apply_stream import Versions, apply_stream, counts_by_window
@@ -212,3 +213,77 @@ def test_whole_tables_are_probed(spark, sf_dir):
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
     assert plans.QUERIES["unique_probe_not_distinct_all"](spark, sf_dir).count() > customers // 2
     assert {len(r["sub"]) > 16 for r in plans.QUERIES["slot_names_all"](spark, sf_dir).collect()} == {True, False}
+
+
+def plain_transactions(changes, state):
+    """Transactions one after the other on a dict; one with an update of a missing row leaves nothing behind. The table, and the xids that failed."""
+    table, bad = dict(state), set()
+    for xid in sorted({c[0] for c in changes}):
+        now, good = dict(table), True
+        for _, _, key, op, value in sorted(c for c in changes if c[0] == xid):
+            if op == "D":
+                now.pop(key, None)
+            elif op == "U" and key not in now:
+                good = False
+                break
+            else:
+                now[key] = value
+        table = now if good else table
+        bad |= set() if good else {xid}
+    return table, bad
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_transactions_that_fail_leave_nothing_behind(spark, seed):
+    """Also where what a failing transaction didn't do makes a later one fail, or succeed."""
+    r = random.Random(seed)
+    changes = [(lsn_ // 3, lsn_, r.randrange(6), r.choice("IUUUD"), float(lsn_)) for lsn_ in range(45)]
+    rows = [(k, n, 0, x, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n), 2, op, None if op == "D" else (v,), None, None) for x, n, k, op, v in changes]
+    c = spark.createDataFrame(rows, "k int, commit_lsn bigint, seq int, xid bigint, commit_ts timestamp_ntz, origin_id int, op string, new struct<v:double>, old struct<v:double>, changed array<string>")
+    state = spark.createDataFrame([(k, -1.0, dt.datetime(2020, 1, 1), 0) for k in range(4)], "k int, v double, _ts timestamp_ntz, _origin int")
+    table, _, exceptions = apply.with_policy(c, state, ["k"], ["v"])
+    want, bad = plain_transactions(changes, dict.fromkeys(range(4), -1.0))
+    assert len(bad) > 2 and {x["k"]: x["v"] for x in table.collect()} == want
+    logged = exceptions.collect()
+    assert {x["xid"] for x in logged} == bad and len(logged) == 3 * len(bad)
+    table, _, exceptions = apply.with_policy(c, state, ["k"], ["v"], "sub_disable")
+    assert {x["k"]: x["v"] for x in table.collect()} == plain_transactions([x for x in changes if x[0] < min(bad)], dict.fromkeys(range(4), -1.0))[0]
+    assert {x["xid"] for x in exceptions.collect()} == {min(bad)}
+
+
+def test_lag_is_from_commit_to_insert(spark):
+    p = spark.sql("SELECT * FROM VALUES (1, 2, TIMESTAMP_NTZ '2024-01-01 00:00:00', 100, 160, 150, TIMESTAMP_NTZ '2024-01-01 00:00:07'), (1, 3, TIMESTAMP_NTZ '2024-01-01 00:00:00', 100, 90, 100, TIMESTAMP_NTZ '2023-12-31 23:59:58') AS v(node_id, remote_node_id, remote_commit_ts, remote_commit_lsn, remote_insert_lsn, received_lsn, last_updated_ts)")
+    nodes = spark.sql("SELECT * FROM VALUES (1, 'a'), (2, 'b'), (3, 'c') AS v(node_id, node_name)")
+    got = {r["origin_name"]: r for r in monitor.lag(p, nodes, spark.sql("SELECT 2 AS origin_id, 1 AS target_id")).collect()}
+    assert (got["b"]["replication_lag_bytes"], got["b"]["replication_lag"], got["b"]["receiver_name"]) == (60, 7, "a")
+    assert (got[None]["replication_lag_bytes"], got[None]["replication_lag"]) == (-10, -2)
+
+
+def test_sequences_due_and_doubling(spark):
+    """Published up to 2000 with a cache of 1000: due from 1501 on, late from 2501 on, the cache doubles from 3000 on."""
+    rows = [(str(n), n, 2000, 1000) for n in (1500, 1501, 2500, 2501, 2999, 3000)] + [("big", 10**7, 2000, 800_000)]
+    got = {r["seq_name"]: (r["publish"], r["in_time"], r["cache"], r["sent_value"]) for r in sync.sequences(spark.createDataFrame(rows, "seq_name string, last_value bigint, sent_value bigint, cache bigint")).collect()}
+    assert got == {
+        "1500": (False, True, 1000, 2000), "1501": (True, True, 1000, 2501), "2500": (True, True, 1000, 3500), "2501": (True, False, 1000, 3501),
+        "2999": (True, False, 1000, 3999), "3000": (True, False, 2000, 5000), "big": (True, False, 1_000_000, 11_000_000),
+    }
+
+
+@pytest.mark.parametrize(("text", "good"), [("length(s) > 1", True), ("s = 'f(x)' and (id > 1 or id in (2, 3))", True), ("reflect('a', 'b') = s", False), ("from_json(s, 'a int').a > 1", False), ("version() = s", False)])
+def test_filters_call_allowed_functions_alone(spark, text, good):
+    table = spark.sql("SELECT 1 AS id, 'x' AS s")
+    if good:
+        publish.checked_filter(table, text)
+    else:
+        with pytest.raises(ValueError):
+            publish.checked_filter(table, text)
+
+
+def test_quoted_names_and_money(spark):
+    from tidemark.functions import rendering
+
+    got = spark.createDataFrame([("plain",), ("Two",), ('a"b',), ("select",), ("x y",)], "n string").select(rendering.quote_ident(F.col("n")).alias("q")).collect()
+    assert [r["q"] for r in got] == ["plain", '"Two"', '"a""b"', '"select"', '"x y"']
+    assert spark.range(1).select(rendering.identifier_list(F.array(F.lit("a"), F.lit("B c"))).alias("l")).first()["l"] == 'a,"B c"'
+    money = spark.sql("SELECT 1.10BD AS o, 3.35BD AS n, 10.00BD AS l").select(delta.delta_apply(F.col("o"), F.col("n"), F.col("l"), "money").alias("m"))
+    assert str(money.first()["m"]) == "12.25" and money.dtypes == [("m", "decimal(19,2)")]

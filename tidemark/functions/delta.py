@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 #: Types that merge without a function of the user's own.
 TYPES = ("smallint", "int", "bigint", "float", "double", "decimal")
+#: Money is a decimal with two places, and merges as one.
+MONEY = "decimal(19,2)"
 Merge = Callable[[Column, Column, Column], Column]
 
 
 def delta_apply(old: Column, new: Column, local: Column, kind: str) -> Column:
     """local + (new - old) in the column's own type; beyond its range is an error, as in ANSI mode."""
+    kind = MONEY if kind == "money" else kind
     if kind.split("(")[0] not in TYPES:
         raise ValueError(f"no delta merge for {kind}")
     return (local + (new - old)).cast(kind)
@@ -21,6 +24,7 @@ def delta_apply(old: Column, new: Column, local: Column, kind: str) -> Column:
 
 def zero(kind: str) -> Column:
     """Where there is no old value, it counts as this."""
+    kind = MONEY if kind == "money" else kind
     if kind.split("(")[0] not in TYPES:
         raise ValueError(f"no zero for {kind}")
     return F.lit(0).cast(kind)

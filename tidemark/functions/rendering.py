@@ -39,3 +39,23 @@ def change_line(action: Column, table: str, key: Sequence[str], columns: Sequenc
 def error_message(message: Column, state: Column) -> Column:
     """The message with its SQLSTATE before it, unless that is the one for internal errors."""
     return F.when(F.coalesce(state, F.lit("XX000")) == "XX000", message).otherwise(F.concat(state, F.lit(": "), message))
+
+
+#: Words that an identifier must be quoted for among plain ones; more may be given.
+RESERVED = ("all", "and", "any", "array", "as", "asc", "both", "case", "cast", "check", "column", "constraint", "create", "default", "desc", "distinct", "do", "else", "end", "except", "false", "for", "foreign", "from", "grant", "group", "having", "in", "into", "limit", "not", "null", "offset", "on", "only", "or", "order", "primary", "references", "select", "table", "then", "to", "true", "union", "unique", "user", "using", "when", "where", "window", "with")
+
+
+def quote_ident(name: Column, reserved: Sequence[str] = RESERVED) -> Column:
+    """The identifier as SQL needs it written: in double quotes (those inside doubled) unless it is plain and not reserved."""
+    plain = name.rlike("^[a-z_][a-z0-9_$]*$") & ~name.isin(list(reserved))
+    return F.when(plain, name).otherwise(F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"')))
+
+
+def identifier_list(names: Column) -> Column:
+    """The identifiers of an array, quoted where needed, comma-joined."""
+    return F.array_join(F.transform(names, lambda x: quote_ident(x)), ",")
+
+
+def timestamp_text(ts: Column) -> Column:
+    """A time in UTC with its microseconds and offset, as text."""
+    return F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00"))

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import delta
-from tidemark.operators import resolve
+from tidemark.operators import errors, resolve
 
 #: The changes of one key that one row holds; the log grows in blocks, so that its cost isn't quadratic; the ranges that one count looks at.
 MAX_CHANGES, LOG_BLOCK, CUTS = 50_000, 256, 1_000
@@ -170,6 +170,50 @@ def applied(
     return rows(cold).unionByName(now), log(cold, key).unionByName(log(spark.read.schema(done.schema).parquet(*parts), key))
 
 
+def with_policy(
+    changes: DataFrame, state: DataFrame, key: Sequence[str], columns: Sequence[str], policy: str = "transdiscard", **rule
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table, the log of what took effect, and the exceptions, where updates of missing rows fail under a policy.
+
+    `changes` has xid too, and transactions don't overlap in position. discard: such updates alone are left out.
+    sub_disable: nothing from the first transaction that fails on. transdiscard: no change of a transaction that fails
+    takes effect. As what one transaction leaves undone may make a later one fail or succeed, failures are settled in
+    rounds: those count that come before any change to a key which a failing transaction touched earlier.
+    """
+    place, gone, told = F.struct("commit_lsn", "seq"), None, None
+    while True:
+        left = changes if gone is None else changes.join(gone, "xid", "left_anti")
+        table, log_ = applied(left, state, key, columns, **rule)
+        marks = log_.where("failed").select("commit_lsn", "seq", F.lit(True).alias("failed"))
+        marked = left.join(marks, ["commit_lsn", "seq"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+        marked = marked.withColumn("error_message", F.when(F.col("failed"), "row to update not found"))
+        if policy != "transdiscard":
+            break
+        failed = errors.failing(marked)
+        if failed.isEmpty():
+            break
+        touched = left.join(failed.select("xid"), "xid", "left_semi").groupBy(*key).agg(F.min(F.struct("commit_lsn", "seq", "xid")).alias("_t"))
+        after = left.join(touched, list(key)).where((F.struct("commit_lsn", "seq") > F.struct("_t.commit_lsn", "_t.seq")) & (F.col("xid") != F.col("_t.xid")))
+        until = F.broadcast(after.agg(F.min(place).alias("_until")))
+        now = _kept(failed.crossJoin(until).where("_until IS NULL OR _first < _until").select("xid"))
+        lost = _kept(errors.exception_log(marked.join(now, "xid", "left_semi"), policy))
+        gone, told = now if gone is None else _kept(gone.unionByName(now)), lost if told is None else told.unionByName(lost)
+    if policy == "discard":
+        return table, log_.where(~F.col("failed")), errors.exception_log(marked, policy)
+    if policy == "sub_disable":
+        table, log_ = applied(errors.applied(marked, policy).select(*changes.columns), state, key, columns, **rule)
+        return table, log_, errors.exception_log(marked, policy)
+    return table, log_, errors.exception_log(marked, policy) if told is None else told
+
+
+def _kept(rows_: DataFrame) -> DataFrame:
+    """The rows, written to the cluster's shared folder, so that rounds don't pile up in one plan."""
+    spark = rows_.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/policy-{uuid.uuid4().hex}"
+    rows_.write.parquet(folder)
+    return spark.read.schema(rows_.schema).parquet(folder)
+
+
 def rows(folded: DataFrame) -> DataFrame:
     """The table after the fold."""
     return folded.where("present").drop("present", "log")

@@ -18,14 +18,20 @@ def progress(records: DataFrame, key: Sequence[str] = ("dbid", "node_id", "remot
     return merged.select(*key, "remote_commit_ts", "_n.*", "remote_insert_lsn", "received_lsn")
 
 
-def lag(progress_: DataFrame, nodes: DataFrame, now: Column) -> DataFrame:
-    """For each pair of nodes: bytes and seconds behind; no seconds while nothing is missing."""
+def lag(progress_: DataFrame, nodes: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """For each pair of nodes: the largest distance from what was committed here to what the sender has written, in bytes,
+    and from a commit there to the last news of it here, in seconds.
+
+    `progress_` has last_updated_ts beside what progress() merges; `subscriptions` has origin_id and target_id. Progress
+    without a subscription has no origin's name. Nothing is floored: a clock that runs ahead shows as a negative lag.
+    """
     name = lambda n: F.broadcast(nodes.select(F.col("node_id").alias(f"{n}_id"), F.col("node_name").alias(f"{n}_name")))
-    met = progress_.join(name("origin"), F.col("remote_node_id") == F.col("origin_id"), "left").join(name("receiver"), F.col("node_id") == F.col("receiver_id"), "left")
-    size = F.greatest(F.col("remote_insert_lsn") - F.col("received_lsn"), F.lit(0))
-    seconds = F.when(F.col("remote_insert_lsn") <= F.col("received_lsn"), F.lit(0)).otherwise(F.timestamp_diff("SECOND", "remote_commit_ts", now))
-    by = met.groupBy("origin_name", "receiver_name")
-    return by.agg(F.max("remote_commit_ts").alias("commit_timestamp"), F.max("remote_commit_lsn").alias("commit_lsn"), F.max("remote_insert_lsn").alias("remote_insert_lsn"), F.max("received_lsn").alias("received_lsn"), F.max(size).alias("replication_lag_bytes"), F.max(seconds).cast("bigint").alias("replication_lag"))
+    subs = F.broadcast(subscriptions.select(F.col("origin_id").alias("sub_origin"), F.col("target_id").alias("sub_target")).distinct())
+    met = progress_.join(subs, (F.col("node_id") == F.col("sub_target")) & (F.col("remote_node_id") == F.col("sub_origin")), "left")
+    met = met.join(name("origin"), F.col("sub_origin") == F.col("origin_id"), "left").join(name("receiver"), F.col("node_id") == F.col("receiver_id"), "left")
+    seconds = F.timestamp_diff("SECOND", "remote_commit_ts", "last_updated_ts")
+    newest = [F.max(x).alias(y) for x, y in (("remote_commit_ts", "commit_timestamp"), ("remote_commit_lsn", "commit_lsn"), ("remote_insert_lsn", "remote_insert_lsn"), ("received_lsn", "received_lsn"))]
+    return met.groupBy("origin_name", "receiver_name").agg(*newest, F.max(F.col("remote_insert_lsn") - F.col("remote_commit_lsn")).alias("replication_lag_bytes"), F.max(seconds).cast("bigint").alias("replication_lag"))
 
 
 def counters(applied: DataFrame, by: Sequence[str] = ("subid", "relid"), sender: bool = False, compat: bool = False) -> DataFrame:

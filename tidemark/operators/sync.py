@@ -66,11 +66,26 @@ def reconciled(saved: DataFrame, origins: DataFrame) -> DataFrame:
     return both.withColumn("state", state)
 
 
+def repaired(saved: DataFrame, origins: DataFrame) -> DataFrame:
+    """Saved progress after a restart, made to agree with what the origin tracks: where the two positions differ, the
+    tracked one counts, and the commit time, which belongs to the other position, is cleared; nodes that aren't saved are added.
+
+    `saved` has node_id, remote_commit_lsn and remote_commit_ts; nodes that the origin doesn't track stay as they are.
+    """
+    both = saved.join(origins.select("node_id", "origin_lsn"), "node_id", "full_outer")
+    same = F.col("origin_lsn").isNull() | F.coalesce(F.col("origin_lsn") == F.col("remote_commit_lsn"), F.lit(False))
+    return both.select("node_id", F.coalesce("origin_lsn", "remote_commit_lsn").alias("remote_commit_lsn"), F.when(same, F.col("remote_commit_ts")).alias("remote_commit_ts"))
+
+
 def sequences(state: DataFrame) -> DataFrame:
-    """Which sequences to publish and with which value: those past half of the cache since the last one; their cache doubles.
+    """Which sequences to publish and with which value.
 
-    `state` has seq_name, last_value, sent_value (what was published last) and cache.
+    `state` has seq_name, last_value, sent_value (what was published last, ahead of the sequence by its cache) and cache.
+    A sequence is due unless what was published is still ahead of it by half of the smallest cache. Its cache doubles if
+    all of what was sent and a whole cache more are used up; `in_time` is false if more than half a cache more is.
     """
-    due = F.col("last_value") > F.col("sent_value") - F.floor(F.col("cache") / 2)
-    cache = F.when(due, F.least(F.col("cache") * 2, F.lit(SEQUENCE_CACHE_MAX))).otherwise(F.col("cache")).cast("bigint")
-    return state.withColumn("publish", due).withColumn("cache", cache).withColumn("sent_value", F.when(F.col("publish"), F.col("last_value") + F.col("cache")).otherwise(F.col("sent_value")))
+    due = F.col("sent_value") < F.col("last_value") + SEQUENCE_CACHE // 2
+    late = F.col("sent_value") + F.floor(F.col("cache") / 2) < F.col("last_value")
+    fast = due & (F.col("sent_value") + F.col("cache") <= F.col("last_value"))
+    marked = state.withColumns({"publish": due, "in_time": ~(due & late)})
+    return marked.withColumn("cache", F.when(fast, F.least(F.col("cache") * 2, F.lit(SEQUENCE_CACHE_MAX))).otherwise(F.col("cache")).cast("bigint")).withColumn("sent_value", F.when(F.col("publish"), F.col("last_value") + F.col("cache")).otherwise(F.col("sent_value")))

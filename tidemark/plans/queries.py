@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from tidemark.functions import delta, lsn, names, rendering
 from tidemark.operators import apply, errors, monitor, publish, resolve, sync, verify
 from tidemark.operators.catalog import Catalog
 from tidemark.sources import changes as ch
+from tidemark.streaming.apply_stream import Versions, apply_stream, counts_by_window
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,11 +186,17 @@ f(key, n, present, event_type, value, props, ts, origin, kind, win, op) AS (
 """
 
 
+def _envelope(c: DataFrame) -> DataFrame:
+    return c.select("key", "commit_lsn", "seq", "commit_ts", "origin_id", "op", F.when(F.col("op") != "D", F.struct(*_ROW)).alias("new"), F.lit(None).cast("struct<event_type:string,value:double,props:string>").alias("old"), F.lit(None).cast("array<string>").alias("changed"))
+
+
+def _no_state(c: DataFrame) -> DataFrame:
+    return c.limit(0).select("key", F.lit("").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"), F.col("commit_ts").alias("_ts"), F.col("origin_id").alias("_origin"))
+
+
 def _folded(spark, d, changes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    c = _ch(spark, d) if changes is None else changes
-    c = c.select("key", "commit_lsn", "seq", "commit_ts", "origin_id", "op", F.when(F.col("op") != "D", F.struct(*_ROW)).alias("new"), F.lit(None).cast("struct<event_type:string,value:double,props:string>").alias("old"), F.lit(None).cast("array<string>").alias("changed"))
-    empty = c.limit(0).select("key", F.lit("").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"), F.col("commit_ts").alias("_ts"), F.col("origin_id").alias("_origin"))
-    return apply.applied(c, empty, ["key"], _ROW, own_tiebreaker=1)
+    c = _envelope(_ch(spark, d) if changes is None else changes)
+    return apply.applied(c, _no_state(c), ["key"], _ROW, own_tiebreaker=1)
 
 
 _LAST = "SELECT key, event_type, round(value, 6) AS value, props, ts AS _ts, origin AS _origin FROM f WHERE n = (SELECT max(n) FROM f g WHERE g.key = f.key) AND present"
@@ -396,10 +404,100 @@ def progress_reconcile(spark, d):
     return sync.reconciled(saved, tracked).select("node_id", "state")
 
 
-@query("SELECT n_name AS seq_name, n_nationkey * 100 > 1500 AS publish, CASE WHEN n_nationkey * 100 > 1500 THEN 2000 ELSE 1000 END::BIGINT AS cache, CASE WHEN n_nationkey * 100 > 1500 THEN n_nationkey * 100 + 2000 ELSE 2000 END::BIGINT AS sent_value FROM nation")
+@query("""SELECT n_name AS seq_name, 2000 < last + 500 AS publish, NOT (2000 < last + 500 AND 2500 < last) AS in_time, CASE WHEN 3000 <= last THEN 2000 ELSE 1000 END::BIGINT AS cache,
+CASE WHEN 3000 <= last THEN last + 2000 WHEN 2000 < last + 500 THEN last + 1000 ELSE 2000 END::BIGINT AS sent_value FROM (SELECT n_name, n_nationkey * 200 AS last FROM nation)""")
 def sequence_sync(spark, d):
-    s = _read(spark, d, "nation").select(F.col("n_name").alias("seq_name"), (F.col("n_nationkey") * 100).cast("bigint").alias("last_value"), F.lit(2000).cast("bigint").alias("sent_value"), F.lit(1000).cast("bigint").alias("cache"))
-    return sync.sequences(s).select("seq_name", "publish", "cache", "sent_value")
+    s = _read(spark, d, "nation").select(F.col("n_name").alias("seq_name"), (F.col("n_nationkey") * 200).cast("bigint").alias("last_value"), F.lit(2000).cast("bigint").alias("sent_value"), F.lit(1000).cast("bigint").alias("cache"))
+    return sync.sequences(s).select("seq_name", "publish", "in_time", "cache", "sent_value")
+
+
+@query("""SELECT n_nationkey::BIGINT AS node_id, CASE n_nationkey % 4 WHEN 1 THEN 120 WHEN 2 THEN 80 ELSE 100 END AS remote_commit_lsn,
+CASE WHEN n_nationkey % 4 = 0 THEN TIMESTAMP '2024-01-01' END AS remote_commit_ts FROM nation""")
+def progress_repair(spark, d):
+    n = _read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("node_id"))
+    at = lambda other: F.when(F.col("node_id") % 4 == 1, other[0]).when(F.col("node_id") % 4 == 2, other[1]).otherwise(100)
+    saved = n.where("node_id % 4 <> 3").withColumn("remote_commit_lsn", F.lit(100)).withColumn("remote_commit_ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    return sync.repaired(saved, n.withColumn("origin_lsn", at((120, 80))))
+
+
+# Applying under an exception policy: orders change the balances of customers, of whom those deep in debt aren't there yet.
+
+_THERE = "there AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal >= -900), o AS (SELECT o_orderkey, o_orderkey // 4 AS xid, o_custkey, o_totalprice, o_custkey NOT IN (SELECT c_custkey FROM there) AS failed FROM orders), "
+_BALANCES = "SELECT c_custkey, round(c_acctbal + coalesce(s, 0), 2) AS c_acctbal FROM there LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS s FROM k GROUP BY 1) ON o_custkey = c_custkey"
+
+
+def _under(spark, d, policy: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    orders = _read(spark, d, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("commit_lsn"), F.lit(0).alias("seq"), F.floor(F.col("o_orderkey") / 4).alias("xid"), F.lit("1990-01-01").cast("timestamp_ntz").alias("commit_ts"), F.lit(2).alias("origin_id"),
+        F.lit("U").alias("op"), F.struct(F.col("o_totalprice").alias("c_acctbal")).alias("new"), F.struct(F.lit(0.0).alias("c_acctbal")).alias("old"), F.lit(None).cast("array<string>").alias("changed"))
+    there = _read(spark, d, "customer").where("c_acctbal >= -900").select("c_custkey", "c_acctbal", F.lit("2000-01-01").cast("timestamp_ntz").alias("_ts"), F.lit(0).alias("_origin"))
+    return apply.with_policy(orders, there, ["c_custkey"], ["c_acctbal"], policy, deltas=["c_acctbal"])
+
+
+@query(f"WITH {_THERE} k AS (SELECT * FROM o WHERE NOT failed) {_BALANCES}")
+def apply_discard(spark, d):
+    return _under(spark, d, "discard")[0].select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+@query(f"WITH {_THERE} k AS (SELECT * FROM o WHERE xid NOT IN (SELECT xid FROM o WHERE failed)) {_BALANCES}")
+def apply_transdiscard(spark, d):
+    return _under(spark, d, "transdiscard")[0].select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+@query(f"WITH {_THERE} k AS (SELECT * FROM o WHERE xid < (SELECT coalesce(min(xid), 9e18) FROM o WHERE failed)) {_BALANCES}")
+def apply_sub_disable(spark, d):
+    return _under(spark, d, "sub_disable")[0].select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+@query(f"""WITH {_THERE} f AS (SELECT xid, min(o_orderkey) AS first FROM o WHERE failed GROUP BY 1),
+n AS (SELECT o.xid, o_orderkey AS commit_lsn, row_number() OVER (PARTITION BY o.xid ORDER BY o_orderkey) AS command_counter, o_orderkey = first AS culprit FROM o JOIN f USING (xid))
+SELECT xid, commit_lsn, command_counter, CASE WHEN culprit THEN 'row to update not found' ELSE 'discarded due to exception at command_counter ' || (max(CASE WHEN culprit THEN command_counter END) OVER (PARTITION BY xid))::VARCHAR END AS error_message FROM n""")
+def apply_exceptions(spark, d):
+    return _under(spark, d, "transdiscard")[2].select("xid", "commit_lsn", "command_counter", "error_message")
+
+
+# Streams
+
+
+def _scratch(spark) -> str:
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
+
+
+@query(_fold_sql("") + _LAST)
+def stream_apply(spark, d):
+    """The keyed fold as a stream over files of changes, in batches, with the state carried from one to the next."""
+    c = _envelope(_ch(spark, d))
+    folder = _scratch(spark)
+    c.repartitionByRange(4, "commit_lsn").sortWithinPartitions("commit_lsn").write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(c.schema).parquet(f"{folder}/in")
+    apply_stream(source, _no_state(c), f"{folder}/table", f"{folder}/progress", ["key"], _ROW).awaitTermination()
+    return Versions(spark, f"{folder}/table").newest().withColumn("value", F.round("value", 6))
+
+
+@query(_CH + "SELECT date_trunc('hour', commit_ts) AS start, op, count(*) AS n FROM ch GROUP BY 1, 2")
+def stream_window_counts(spark, d):
+    """Changes by hour and operation, counted by a stream with a watermark over files of changes; what is late counts too, as one batch holds all."""
+    folder = _scratch(spark)
+    _ch(spark, d).select("commit_ts", "op").write.parquet(f"{folder}/in")
+    source = spark.readStream.schema("commit_ts timestamp_ntz, op string").parquet(f"{folder}/in")
+    counts = counts_by_window(source.withColumn("commit_ts", F.col("commit_ts").cast("timestamp")))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    counts.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("start timestamp, op string, n bigint, batch int").parquet(f"{folder}/out")
+    return out.groupBy("start", "op").agg(F.max_by("n", "batch").alias("n")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""SELECT p_name AS name, CASE WHEN regexp_matches(p_name, '^[a-z_][a-z0-9_$]*$') THEN p_name ELSE '"' || replace(p_name, '"', '""') || '"' END AS quoted FROM part""")
+def quoted_identifiers(spark, d):
+    return _read(spark, d, "part").select(F.col("p_name").alias("name"), rendering.quote_ident(F.col("p_name")).alias("quoted"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '+00' AS at FROM events")
+def timestamp_texts(spark, d):
+    return _events(spark, d).select("event_id", rendering.timestamp_text(F.col("ts")).alias("at"))
 
 
 @query("SELECT n_name AS sub_name, CASE WHEN n_nationkey % 5 = 0 THEN 'disabled' WHEN n_nationkey % 5 = 1 THEN 'unknown' WHEN n_nationkey % 5 = 2 THEN 'down' WHEN n_nationkey % 5 = 3 THEN 'replicating' ELSE 'initializing' END AS status FROM nation")
@@ -457,13 +555,16 @@ def progress_max_merge(spark, d):
     return monitor.progress(_records(spark, d)).drop("prev_remote_ts", "updated_by_decode")
 
 
-@query(f"""WITH {_RECORDS_SQL}, now AS (SELECT max(ts) AS now FROM events)
-SELECT 'n' || remote_node_id AS origin_name, 'n' || node_id AS receiver_name, remote_commit_ts AS commit_timestamp, remote_commit_lsn AS commit_lsn, remote_insert_lsn, received_lsn,
-greatest(remote_insert_lsn - received_lsn, 0)::BIGINT AS replication_lag_bytes, CASE WHEN remote_insert_lsn <= received_lsn THEN 0 ELSE floor(epoch(now) - epoch(remote_commit_ts)) END::BIGINT AS replication_lag FROM p, now""")
+@query(f"""WITH {_RECORDS_SQL}, u AS (SELECT user_id % 3 AS node_id, event_id % 4 AS remote_node_id, max(ts) AS last_updated_ts FROM events GROUP BY 1, 2)
+SELECT CASE WHEN remote_node_id <> 3 THEN 'n' || remote_node_id END AS origin_name, 'n' || node_id AS receiver_name, max(remote_commit_ts) AS commit_timestamp, max(remote_commit_lsn) AS commit_lsn,
+max(remote_insert_lsn) AS remote_insert_lsn, max(received_lsn) AS received_lsn, max(remote_insert_lsn - remote_commit_lsn)::BIGINT AS replication_lag_bytes,
+max(date_sub('second', remote_commit_ts, last_updated_ts))::BIGINT AS replication_lag FROM p JOIN u USING (node_id, remote_node_id) GROUP BY 1, 2""")
 def lag_tracker(spark, d):
     nodes = spark.range(4).select(F.col("id").alias("node_id"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("node_name"))
-    now = _events(spark, d).agg(F.max("ts")).first()[0]
-    return monitor.lag(monitor.progress(_records(spark, d)), nodes, F.lit(now).cast("timestamp_ntz"))
+    records = _records(spark, d)
+    seen = records.groupBy("node_id", "remote_node_id").agg(F.max("prev_remote_ts").alias("last_updated_ts"))
+    subscriptions = nodes.select(F.col("node_id").alias("target_id"), F.explode(F.expr("array(0L, 1L, 2L)")).alias("origin_id"))
+    return monitor.lag(monitor.progress(records).join(seen, ["node_id", "remote_node_id"]), nodes, subscriptions)
 
 
 @query(_CH + "SELECT max(commit_lsn) AS lsn FROM ch WHERE commit_lsn < (SELECT min(commit_lsn) FROM ch WHERE commit_ts > (SELECT min(ts) + INTERVAL 20 HOURS FROM events))")
