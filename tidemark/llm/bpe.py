@@ -39,8 +39,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common, mixing
 
-CACHE, CACHED_LENGTH, PIECE = 200_000, 40, 1 << 16
+CACHE, CACHED_LENGTH, PIECE = 300_000, 40, 1 << 16
 _NEVER = 1 << 60
+_SHORT = (3, 2, 1)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -51,11 +52,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 def _sizes(tokens: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
-    """The lengths of the tokens that end with the same three bytes, longest first; one and two are always among them."""
+    """The lengths of the tokens that end with the same four bytes, longest first; those up to three are always among them."""
     found: dict[bytes, set[int]] = {}
     for raw in tokens:
-        if len(raw) > 2:
-            found.setdefault(raw[-3:], {1, 2}).add(len(raw))
+        if len(raw) > 3:
+            found.setdefault(raw[-4:], {1, 2, 3}).add(len(raw))
     return {end: tuple(sorted(sizes, reverse=True)) for end, sizes in found.items()}
 
 
@@ -93,7 +94,7 @@ class Bpe:
         #: The most bytes that a word's stream has held so far.
         self.most_held = 0
         self._cuts = not any(set(t) & {" ", "\n"} for t in self.special)
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         split = next(p["pattern"]["Regex"] for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         #: \s of the file's pattern language is Unicode's White_Space, which here leaves U+001C to U+001F out.
         self._words = regex.compile(split.replace("[^\\s", "[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"))
@@ -106,9 +107,10 @@ class Bpe:
         Undoing the later merge of the two each time shows which parts met at the border, and until when; they would
         have merged if their rank comes first (at the same rank, the pair further left does).
         """
-        if (known := self._fits.get((a, b))) is not None:
+        key = a << 20 | b
+        if (known := self._fits.get(key)) is not None:
             return known
-        key, left_until, right_until, good = (a, b), _NEVER, _NEVER, True
+        left_until, right_until, good = _NEVER, _NEVER, True
         while True:
             r = self.rank.get((a, b), _NEVER)
             if r < left_until and r <= right_until and r != _NEVER:
@@ -121,7 +123,7 @@ class Bpe:
                 left_until, _, a = by_left
             else:
                 right_until, b, _ = by_right
-        if len(self._fits) >= CACHE:
+        if len(self._fits) >= 2 * CACHE:
             self._fits.clear()
         self._fits[key] = good
         return good
@@ -150,13 +152,13 @@ class Bpe:
 
     def _ending(self, held: bytes, last: dict[int, tuple[int, int]], n: int, known: dict[bytes, int], sizes: dict[bytes, tuple[int, ...]]) -> tuple[int, int]:
         """The token that ends at place n: the one that fits the token before it."""
-        for size in sizes.get(held[max(0, n - 3) : n], (2, 1)):
+        for size in sizes.get(held[n - 4 : n], _SHORT) if n > 3 else range(n, 0, -1):
             if size <= n and (token := known.get(held[n - size : n])) is not None:
                 before = (last.get(n - size) or self._ending(held, last, n - size, self.inner, self._inner_sizes))[0]
-                good = before < 0 or self._fits.get((before, token))
+                good = before < 0 or self._fits.get(before << 20 | token)
                 if good or good is None and self.fits(before, token):
-                    last[n] = token, size
-                    return last[n]
+                    last[n] = found = token, size
+                    return found
         raise ValueError("a byte without a token")
 
     def _agreed(self, last: dict[int, tuple[int, int]], n: int) -> int:
@@ -179,7 +181,7 @@ class Bpe:
 
     def _word(self, word: str) -> bytes:
         raw, step = word.encode("utf-8", "replace"), self.lookahead
-        ids = list(self.stream(raw[i : i + step] for i in range(0, len(raw), step)))
+        ids = list(self.stream((raw,) if len(raw) <= step else (raw[i : i + step] for i in range(0, len(raw), step))))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
