@@ -101,7 +101,7 @@ _BARRED = ("select ", " over ", "rand(", "randn(", "uuid(", "now(", "current_",
 
 
 #: Functions that a row filter may call, all of them the same every time, and words that stand before a bracket without being one.
-ALLOWED_FUNCTIONS = frozenset("abs ceil ceiling floor round sign sqrt power mod greatest least coalesce nullif ifnull nvl isnull isnotnull length char_length upper lower trim ltrim rtrim btrim substring substr left right concat replace split_part startswith endswith contains position instr date_trunc year month day hour minute second date cast try_cast bigint int double string decimal boolean md5 sha2 crc32".split())
+ALLOWED_FUNCTIONS = frozenset("abs ceil ceiling floor round sign sqrt power mod greatest least coalesce nullif ifnull nvl isnull isnotnull length char_length upper lower trim ltrim rtrim btrim substring substr left right concat replace split_part startswith endswith contains position instr date_trunc year month day hour minute second date get_json_object cast try_cast bigint int double string decimal boolean md5 sha2 crc32".split())
 _WORDS = frozenset("and or not in case when then else between like is interval decimal".split())
 
 
