@@ -211,8 +211,8 @@ def test_whole_tables_are_probed(spark, sf_dir):
     from tidemark.plans import queries as plans
 
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
-    assert plans.QUERIES["unique_probe_not_distinct_all"](spark, sf_dir).count() > customers // 2
-    assert {len(r["sub"]) > 16 for r in plans.QUERIES["slot_names_all"](spark, sf_dir).collect()} == {True, False}
+    assert plans.QUERIES["unique_probe_not_distinct"](spark, sf_dir).count() > customers // 2
+    assert {len(r["sub"]) > 16 for r in plans.QUERIES["slot_names"](spark, sf_dir).collect()} == {True, False}
 
 
 def plain_transactions(changes, state):
