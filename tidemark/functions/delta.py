@@ -41,3 +41,7 @@ class Registry:
 
     def merge(self, table: str, column: str, kind: str) -> Merge:
         return self._own.get((table, column)) or (lambda old, new, local: delta_apply(old, new, local, kind))
+
+    def of(self, table: str, kinds: dict[str, str]) -> dict[str, Merge]:
+        """The functions of these columns, as apply.fold takes them."""
+        return {c: self.merge(table, c, k) for c, k in kinds.items()}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,7 +29,7 @@ def fold(
     state: DataFrame,
     key: Sequence[str],
     columns: Sequence[str],
-    deltas: Sequence[str] = (),
+    deltas: Sequence[str] | Mapping[str, delta.Merge] = (),
     own_tiebreaker: int = 1,
     tiebreakers: Mapping[int, int] | None = None,
     resolver: str = "last_update_wins",
@@ -37,7 +38,8 @@ def fold(
 
     `changes` has the key, commit_lsn, seq, commit_ts, origin_id, op, new (a struct of the columns), old (the same or
     null) and changed (names, or null for all). `state` has the key, the columns, _ts and _origin. `log` has an entry a
-    change: its position, op, conflict_type, resolution, and failed, for updates of a missing row.
+    change: its position, op, conflict_type, resolution, and failed, for updates of a missing row. `deltas` are columns
+    that merge by their type, or a mapping of columns to functions of their own (see delta.Registry).
     """
     kinds = dict(state.dtypes)
     start = F.struct(F.lit(True).alias("present"), *columns, "_ts", "_origin")
@@ -63,7 +65,7 @@ def fold(
             # Added whoever wins. Inserts count from zero; an old row that lacks the value means the new one plainly;
             # an update without any old row adds nothing.
             old = F.when(op == "I", delta.zero(kind)).when(c["old"].isNull(), new).otherwise(c["old"][name])
-            merged = F.when(old.isNull() | s[name].isNull(), new).otherwise(delta.delta_apply(old, new, s[name], kind))
+            merged = F.when(old.isNull() | s[name].isNull(), new).otherwise(deltas[name](old, new, s[name]) if isinstance(deltas, Mapping) else delta.delta_apply(old, new, s[name], kind))
             return F.when(insert, new).when(present & op.isin("I", "U") & sent, merged).when(present & (op == "D") & wins, F.lit(None)).otherwise(s[name]).cast(kind)
 
         took = insert | overlay
@@ -129,7 +131,7 @@ def applied(
     state: DataFrame,
     key: Sequence[str],
     columns: Sequence[str],
-    deltas: Sequence[str] = (),
+    deltas: Sequence[str] | Mapping[str, delta.Merge] = (),
     own_tiebreaker: int = 1,
     tiebreakers: Mapping[int, int] | None = None,
     resolver: str = "last_update_wins",
@@ -252,3 +254,15 @@ def update_exists(rows_: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows that break a unique index after the merge: the values that come more than once."""
     n = F.count("*").over(W.partitionBy(*columns))
     return rows_.dropna(subset=list(columns)).withColumn("_n", n).where("_n > 1").drop("_n")
+
+
+def admitted(changes: DataFrame, filters: Sequence[Column | str], columns: Sequence[str], fired: Mapping[str, Column] | None = None) -> DataFrame:
+    """What the applying side lets in: inserts and updates whose new row passes all filters, with `fired` columns set
+    as the side's own rules say (expressions over the new row's columns). Deletes and truncates pass.
+    """
+    plain = changes.select(F.struct(*changes.columns).alias("_c"), *[F.col(f"new.{c}").alias(c) for c in columns])
+    test = reduce(lambda a, b: a & b, [F.expr(f) if isinstance(f, str) else f for f in filters], F.lit(True))
+    sent = F.col("_c.op").isin("I", "U")
+    kept = plain.where(~sent | F.coalesce(test, F.lit(False)))
+    new = F.when(F.col("_c.new").isNotNull(), F.struct(*[((fired or {}).get(c, F.col(c))).alias(c) for c in columns]))
+    return kept.select(*[new.alias("new") if c == "new" else F.col(f"_c.{c}").alias(c) for c in changes.columns])

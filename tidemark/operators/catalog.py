@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -172,6 +173,13 @@ class Catalog:
         self._known(self.sets, set_name, "set")
         self.sequences.add((set_name, seq))
 
+    def repset_add_all_seqs(self, set_name: str, seqs: Sequence[str]) -> int:
+        """Those already there are left alone."""
+        new = [q for q in seqs if (set_name, q) not in self.sequences]
+        for q in new:
+            self.repset_add_seq(set_name, q)
+        return len(new)
+
     def repset_remove_seq(self, set_name: str, seq: str) -> bool:
         if (set_name, seq) not in self.sequences:
             raise CatalogError(f"{seq} isn't in {set_name}")
@@ -245,6 +253,18 @@ class Catalog:
         """Starts over with a copy of all tables."""
         self._sub(name).status = "init"
 
+    def sub_status(self, name: str, status: str) -> None:
+        self._sub(name).status = status
+
+    def sub_wait_for_sync(self, name: str, look: Callable[[], str] | None = None, timeout: float = 0, pause: float = 0.2) -> bool:
+        """Waits until the subscription is ready; false after `timeout` seconds, 0 waits on. `look` reads its state anew."""
+        start = time.monotonic()
+        while (look() if look else self._sub(name).status) != "ready":
+            if timeout and time.monotonic() - start >= timeout:
+                return False
+            time.sleep(pause)
+        return True
+
     # Reserved objects, control rows
 
     def reserved_object_add(self, name: str, purpose: str = "table") -> None:
@@ -255,6 +275,35 @@ class Catalog:
         self.reserved.discard((name, purpose))
         return found
 
+    def sync_event(self, origin_id: int, lsn: int, spark: SparkSession) -> DataFrame:
+        """A row to append to a stream: whoever applies it is as far as here."""
+        return self._marker(spark, origin_id, lsn, "sync_event")
+
+    def repair_mode(self, on: bool, origin_id: int, lsn: int, spark: SparkSession) -> DataFrame:
+        """A row to append to a stream: what follows it in its transaction is (or isn't) kept from others."""
+        return self._marker(spark, origin_id, lsn, "repair_on" if on else "repair_off")
+
+    @staticmethod
+    def _marker(spark: SparkSession, origin_id: int, lsn: int, message: str) -> DataFrame:
+        return spark.range(1).select(F.lit(lsn).cast("bigint").alias("commit_lsn"), F.lit(0).alias("seq"), F.lit(origin_id).cast("int").alias("origin_id"), F.lit("M").alias("op"), F.lit(message).alias("message"))
+
+    def sync_seq(self, seq: str, value: int, nsp: str = "public") -> bool:
+        """Queues a sequence's value, read ahead, for the subscribers of its sets."""
+        sets = sorted(s for s, q in self.sequences if q == seq)
+        if not sets:
+            raise CatalogError(f"{seq} is in no set")
+        self.queue_message("S", {"schema_name": nsp, "sequence_name": seq, "last_value": str(value)}, sets)
+        return True
+
+    def node_info(self, name: str) -> dict:
+        """What a node says of itself."""
+        n = self._known(self.nodes, name, "node")
+        return {"node_id": n.node_id, "node_name": n.node_name, "replication_sets": ",".join(sorted(self.sets)), "location": n.location, "country": n.country, "info": n.info}
+
+    def apply_status(self, running: Sequence[str] = ()) -> dict[str, str]:
+        """The state of each subscription's applier; `running` names those with a live query."""
+        return {s.sub_name: "disabled" if not s.enabled else "paused" if not self.may_apply() else "running" if s.sub_name in running else "down" for s in self.subscriptions.values()}
+
     def queue_message(self, kind: str, message: dict | str, sets: Sequence[str] | None = None, role: str = "") -> None:
         """Q and D for statements, A for a table's copy, S for a sequence."""
         if kind not in ("Q", "D", "A", "S"):

@@ -56,9 +56,11 @@ def newest(rows: DataFrame, key: Sequence[str], resolver: str = "last_update_win
     return rows.groupBy(*key).agg(pick(F.struct(*rest), order).alias("r")).select(*key, "r.*")
 
 
-def against(changes: DataFrame, state: DataFrame, key: Sequence[str], own_tiebreaker: int, tiebreakers: Column) -> DataFrame:
-    """Each change beside the local row it meets in a fixed state: conflict_type and resolution."""
-    local = state.select(*key, F.col("_ts").alias("_local_ts"), F.col("_origin").alias("_local_origin"), F.lit(True).alias("_present"))
+def against(changes: DataFrame, state: DataFrame, key: Sequence[str], own_tiebreaker: int, tiebreakers: Column, columns: Sequence[str] = ()) -> DataFrame:
+    """Each change beside the local row it meets in a fixed state: conflict_type and resolution; with `columns` also
+    `local`, a struct of these, and `local_xid`, from the state's _xid if it has one."""
+    kept = [F.struct(*columns).alias("local"), (F.col("_xid") if "_xid" in state.columns else F.lit(None).cast("bigint")).alias("local_xid")] if columns else []
+    local = state.select(*key, F.col("_ts").alias("_local_ts"), F.col("_origin").alias("_local_origin"), F.lit(True).alias("_present"), *kept)
     met = changes.join(local, list(key), "left").withColumn("_present", F.coalesce("_present", F.lit(False)))
     wins = remote_wins(F.col("_local_ts"), F.col("_local_origin"), F.col("commit_ts"), F.col("origin_id"), F.lit(own_tiebreaker), tiebreakers)
     same = F.coalesce(F.col("_local_origin") == F.col("origin_id"), F.lit(False))
@@ -97,7 +99,33 @@ def unique_probe(incoming: DataFrame, state: DataFrame, key: Sequence[str], colu
     return met.where("_met IS NOT NULL").select(*incoming.columns, *[F.col("_met")[k].alias(f"met_{k}") for k in key])
 
 
+def with_previous(rows: DataFrame, value: str, by: Sequence[str] = ("origin_id",), order: str = "commit_lsn", ranges: int = 200) -> DataFrame:
+    """The rows with `_before`, the value of the row before in its group, null for the first one.
+
+    Groups may be few and large: each is cut at quantiles of the order, rows look back inside their range, and what a
+    range ends with is carried to the next one that has rows, from an aggregation with a row for each range.
+    """
+    cuts = rows.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
+    cut = rows.crossJoin(F.broadcast(cuts)).withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))).drop("_cuts")
+    inside = W.partitionBy(*by, "_range").orderBy(order)
+    ends = cut.groupBy(*by, "_range").agg(F.max_by(F.struct(value), order).alias("_end"))
+    carried = ends.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), F.lag("_end").over(W.partitionBy(*by).orderBy("_range")).alias("_carried"))
+    same = [F.col("_range") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
+    looked = cut.withColumns({"_lag": F.lag(value).over(inside), "_nth": F.row_number().over(inside)})
+    met = looked.join(carried, same, "left")
+    return met.select(*rows.columns, F.when(F.col("_nth") > 1, F.col("_lag")).otherwise(F.col("_carried")[value]).alias("_before"))
+
+
 def commit_order_breaks(transactions: DataFrame, by: Sequence[str] = ("origin_id",)) -> DataFrame:
     """Transactions whose predecessor isn't the one they name."""
-    before = F.lag("commit_ts").over(W.partitionBy(*by).orderBy("commit_lsn"))
-    return transactions.withColumn("_before", before).where("_before IS NOT NULL AND NOT (prev_commit_ts <=> _before)").drop("_before")
+    return with_previous(transactions, "commit_ts", by).where("_before IS NOT NULL AND NOT (prev_commit_ts <=> _before)").drop("_before")
+
+
+def without(rows: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Rows of a table without a key after deletes that name whole rows: each takes one of the equal rows, nulls equal nulls."""
+    return rows.exceptAll(deleted.select(*rows.columns))
+
+
+def missing(rows: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The deletes that find no row left to take."""
+    return deleted.select(*rows.columns).exceptAll(rows)

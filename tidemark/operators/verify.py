@@ -47,3 +47,16 @@ def all_tables(tables: DataFrame, memberships: DataFrame) -> DataFrame:
     inside = user.join(memberships.select("relid", "set_name"), "relid").select("relid", "nsp", "rel", "set_name")
     outside = user.join(memberships.select("relid"), "relid", "left_anti").select("relid", "nsp", "rel", F.lit(None).cast("string").alias("set_name"))
     return inside.unionByName(outside).distinct()
+
+
+def members(tables: DataFrame, sequences: DataFrame, sets: Sequence[str] | None = None) -> DataFrame:
+    """Tables and sequences of the sets (all without any) as one list, each name once: set_name, rel and kind."""
+    both = tables.select("set_name", "rel", F.lit("table").alias("kind")).unionByName(sequences.select("set_name", F.col("seq").alias("rel"), F.lit("sequence").alias("kind")))
+    return (both if sets is None else both.where(F.col("set_name").isin(list(sets)))).distinct()
+
+
+def listed(rows: DataFrame, by: Sequence[str], name: str, order: str) -> DataFrame:
+    """For each group its names in order, as an array and as comma-joined text. For catalog rows, whose groups are small."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))))
+    found = rows.groupBy(*by).agg(F.transform(pairs, lambda p: p["n"]).alias("names"))
+    return found.withColumn("text", F.array_join("names", ","))

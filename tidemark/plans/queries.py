@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import delta, lsn, names, rendering
-from tidemark.operators import apply, errors, monitor, publish, resolve, sync, verify
+from tidemark.operators import apply, control, errors, monitor, publish, records, resolve, sync, verify
 from tidemark.operators.catalog import Catalog
 from tidemark.sources import changes as ch
+from tidemark.sources import progress as progress_files
 from tidemark.streaming.apply_stream import Versions, apply_stream, counts_by_window
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,9 +270,7 @@ def unique_probe_not_distinct(spark, d):
 
 @query(_CH + "SELECT commit_lsn, origin_id FROM (SELECT *, lag(commit_ts) OVER (PARTITION BY origin_id ORDER BY commit_lsn) AS before FROM ch) WHERE before IS NOT NULL AND commit_lsn % 50 < 3")
 def commit_order(spark, d):
-    from pyspark.sql import Window as W
-
-    c = _ch(spark, d).withColumn("prev_commit_ts", F.when(F.col("commit_lsn") % 50 >= 3, F.lag("commit_ts").over(W.partitionBy("origin_id").orderBy("commit_lsn"))))
+    c = resolve.with_previous(_ch(spark, d), "commit_ts").withColumn("prev_commit_ts", F.when(F.col("commit_lsn") % 50 >= 3, F.col("_before"))).drop("_before")
     return resolve.commit_order_breaks(c).select("commit_lsn", "origin_id")
 
 
@@ -664,3 +663,173 @@ def default_fill(spark, d):
 
     target = T.StructType.fromDDL("c_custkey bigint, c_name string, subonly_def int")
     return ch.aligned(_read(spark, d, "customer").select("c_name", "c_custkey"), target, {"subonly_def": "99"})
+
+
+# Rows of conflicts and exceptions
+
+_NOW = "2025-01-01"
+
+
+@query(_CH + """, s AS (SELECT key, max(commit_ts) AS lts, arg_max(origin_id, commit_ts) AS lorg, arg_max(xid, commit_ts) AS lxid, arg_max(event_type, commit_ts) AS ltype FROM ch WHERE op <> 'D' AND commit_lsn % 2 = 0 AND key % 3 <> 0 GROUP BY key),
+m AS (SELECT ch.*, lts, lorg, lxid, ltype, lts IS NOT NULL AS present, coalesce(CASE WHEN commit_ts = lts THEN lorg = origin_id OR origin_id <= 1 ELSE commit_ts > lts END, true) AS win FROM ch LEFT JOIN s USING (key) WHERE commit_lsn % 2 = 1),
+k AS (SELECT *, CASE WHEN op = 'I' AND present THEN 'insert_exists' WHEN op = 'U' AND NOT present THEN 'update_missing' WHEN op = 'D' AND NOT present THEN 'delete_missing' WHEN op = 'D' AND NOT win THEN 'delete_exists' END AS conflict_type FROM m)
+SELECT 'n1' AS node_name, TIMESTAMP '2025-01-01' AS log_time, 'public.events' AS relname, 'events_pkey' AS idxname, conflict_type,
+CASE WHEN conflict_type <> 'insert_exists' THEN 'skip' WHEN win THEN 'apply_remote' ELSE 'keep_local' END AS conflict_resolution, coalesce(lorg, -1) AS local_origin,
+CASE WHEN present THEN '{"event_type":"' || ltype || '"}' END AS local_tuple, coalesce(lxid, -1) AS local_xid, lts AS local_timestamp, origin_id AS remote_origin,
+CASE WHEN op <> 'D' THEN '{"event_type":"' || event_type || '"}' END AS remote_tuple, xid AS remote_xid, commit_ts AS remote_timestamp, commit_lsn AS remote_lsn FROM k WHERE conflict_type IS NOT NULL""")
+def resolution_rows(spark, d):
+    c = _ch(spark, d)
+    newest = F.max_by(F.struct("origin_id", "xid", "event_type"), "commit_ts").alias("n")
+    there = c.where("op <> 'D' AND commit_lsn % 2 = 0 AND key % 3 <> 0").groupBy("key").agg(F.max("commit_ts").alias("_ts"), newest)
+    state = there.select("key", "_ts", F.col("n.origin_id").alias("_origin"), F.col("n.xid").alias("_xid"), "n.event_type")
+    image = F.when(F.col("op") != "D", F.struct("event_type"))
+    sent = c.where("commit_lsn % 2 = 1").withColumns({"new": image, "old": F.lit(None).cast("struct<event_type:string>")}).drop("event_type")
+    met = resolve.against(sent, state, ["key"], 1, F.col("origin_id"), columns=["event_type"])
+    return records.resolutions(met, ["event_type"], "n1", "public", "events", F.lit(_NOW).cast("timestamp_ntz"), "events_pkey").drop("id").fillna(-1, ["local_origin", "local_xid"])
+
+
+@query(_FAIL_SQL + """, n AS (SELECT *, row_number() OVER (PARTITION BY xid ORDER BY commit_lsn, seq) AS command_counter FROM x),
+m AS (SELECT *, min(CASE WHEN failed THEN command_counter END) OVER (PARTITION BY xid) AS culprit FROM n)
+SELECT origin_id AS remote_origin, commit_ts AS remote_commit_ts, command_counter, TIMESTAMP '2025-01-01' AS retry_errored_at, xid AS remote_xid, -1 AS local_origin, NULL::TIMESTAMP AS local_commit_ts,
+'public' AS table_schema, 'events' AS table_name, CASE op WHEN 'I' THEN 'INSERT' WHEN 'U' THEN 'UPDATE' ELSE 'DELETE' END AS operation, NULL::VARCHAR AS local_tup, NULL::VARCHAR AS remote_old_tup,
+CASE WHEN op <> 'D' THEN '[{"attname": "event_type", "atttype": "string", "value": "' || event_type || '"}, {"attname": "key", "atttype": "bigint", "value": ' || key || '}]' END AS remote_new_tup,
+NULL::VARCHAR AS ddl_statement, NULL::VARCHAR AS ddl_user, CASE WHEN command_counter = culprit THEN 'value out of range' ELSE 'discarded due to exception at command_counter ' || culprit END AS error_message FROM m WHERE culprit IS NOT NULL""")
+def exception_rows(spark, d):
+    kinds = {"event_type": "string", "key": "bigint"}
+    c = _failing(spark, d).withColumns({"new": F.when(F.col("op") != "D", F.struct("event_type", "key")), "old": F.lit(None).cast("struct<event_type:string,key:bigint>")})
+    return records.exceptions(errors.exception_log(c), c, ["key"], kinds, "public", "events", F.lit(_NOW).cast("timestamp_ntz")).fillna(-1, ["local_origin"])
+
+
+# Control rows, sync events, copies made again, delay
+
+
+def _queue(spark, d) -> DataFrame:
+    """Control rows, as nations send them: copies of tables, values of sequences (twice), changes of columns."""
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    kind = F.when(k % 3 == 0, "A").when(k % 3 == 1, "S").otherwise("Q")
+    fields = F.struct(F.lit("public").alias("schema_name"), F.when(kind == "A", name).alias("table_name"), F.when(kind == "S", name).alias("sequence_name"), F.when(kind == "S", (k * 10 + F.col("twice")).cast("string")).alias("last_value"))
+    rows = _read(spark, d, "nation").withColumn("twice", F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.select((k * 2 + F.col("twice")).alias("seq"), F.lit("").alias("role"), kind.alias("kind"), F.to_json(fields).alias("message"))
+
+
+@query("""SELECT 's1' AS sub_name, 'public' AS nsp, n_name AS rel, CASE WHEN n_nationkey % 2 = 0 THEN 'ready' ELSE 'init' END AS status FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 2 = 0""")
+def queue_table_syncs(spark, d):
+    there = _read(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.lit("s1").alias("sub_name"), F.lit("public").alias("nsp"), F.col("n_name").alias("rel"), F.lit("ready").alias("status"), F.lit(1).cast("bigint").alias("status_lsn"))
+    return control.table_syncs(_queue(spark, d), there, "s1").drop("status_lsn")
+
+
+@query("SELECT 'public' AS nsp, n_name AS seq_name, CASE WHEN n_nationkey % 3 = 1 THEN n_nationkey * 10 + 1 ELSE 7 END AS last_value FROM nation")
+def queue_sequence_values(spark, d):
+    return control.sequence_values(_queue(spark, d), _read(spark, d, "nation").select(F.lit("public").alias("nsp"), F.col("n_name").alias("seq_name"), F.lit(7).cast("bigint").alias("last_value")))
+
+
+@query("SELECT c_custkey, c_name AS name, 'new' AS level, c_nationkey::BIGINT AS c_nationkey FROM customer")
+def queue_columns(spark, d):
+    """Columns added, dropped, renamed and retyped by control rows; the ones that can't be are left out."""
+    c = Catalog()
+    for step in ({"add": "level", "type": "string", "default": "'new'"}, {"rename": "c_name", "to": "name"}, {"drop": "c_name"}, {"drop": "c_acctbal"}, {"retype": "c_nationkey", "type": "bigint"}, {"add": "level", "type": "int"}):
+        c.queue_message("Q", {"table": "customer", **step})
+    table = _read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+    return control.dispatch(c.frame(spark, "queue"), {"customer": table})[0]["customer"]
+
+
+@query("""SELECT n_nationkey AS origin_id, n_nationkey * 10 AS commit_lsn, CASE WHEN n_nationkey % 4 = 3 THEN 'no subscription' WHEN n_nationkey % 4 = 2 THEN 'disabled' WHEN n_nationkey >= 10 THEN 'reached' ELSE 'waiting' END AS state FROM nation""")
+def sync_event_state(spark, d):
+    n = _read(spark, d, "nation").select(F.col("n_nationkey").alias("origin_id"))
+    sent = n.select("origin_id", (F.col("origin_id") * 10).alias("commit_lsn"), F.lit("M").alias("op"), F.lit("sync_event").alias("message"))
+    subs = n.where("origin_id % 4 <> 3").select("origin_id", F.lit(0).alias("target_id"), (F.col("origin_id") % 4 != 2).alias("enabled"))
+    at = n.select(F.lit(0).alias("node_id"), F.col("origin_id").alias("remote_node_id"), (F.col("origin_id") * 11 - 10).alias("remote_commit_lsn"))
+    return control.event_reached(control.sync_events(sent), at, subs, 0)
+
+
+@query(_CH + ", t AS (SELECT max(commit_ts) - INTERVAL 30 HOURS AS now FROM ch), s AS (SELECT min(commit_lsn) AS stop FROM ch, t WHERE commit_ts < now AND commit_ts > now - INTERVAL 1 HOUR) SELECT commit_lsn, op FROM ch, s WHERE stop IS NULL OR commit_lsn < stop")
+def apply_delay(spark, d):
+    c = _ch(spark, d)
+    clock = F.broadcast(c.agg((F.max("commit_ts") - F.expr("INTERVAL 30 HOURS")).alias("_now")))
+    return control.after_delay(c.crossJoin(clock), F.col("_now"), 3_600_000).select("commit_lsn", "op")
+
+
+@query(f"WITH {_RECORDS_SQL} SELECT dbid, 9::BIGINT AS node_id, remote_node_id, remote_commit_ts, remote_commit_lsn, remote_commit_ts AS prev_remote_ts, remote_insert_lsn, remote_commit_lsn AS received_lsn FROM p WHERE node_id = 1 AND remote_node_id <> 2")
+def progress_inherited(spark, d):
+    return control.inherited(monitor.progress(_records(spark, d)), 1, 2).drop("updated_by_decode").withColumn("node_id", F.lit(9).cast("bigint"))
+
+
+@query(f"WITH {_RECORDS_SQL} SELECT dbid, node_id, remote_node_id, remote_commit_ts, CASE WHEN node_id = 1 THEN 5 ELSE remote_commit_lsn END AS remote_commit_lsn, remote_insert_lsn, received_lsn FROM p")
+def progress_forced(spark, d):
+    own = monitor.progress(_records(spark, d)).drop("prev_remote_ts", "updated_by_decode")
+    return control.overwritten(own, own.where("node_id = 1").withColumn("remote_commit_lsn", F.lit(5).cast("bigint")))
+
+
+@query(_CH + "SELECT 7::BIGINT AS node_id, origin_id AS remote_node_id, arg_max(commit_lsn, (commit_ts, commit_lsn)) AS remote_commit_lsn, max(commit_ts) AS remote_commit_ts FROM ch WHERE origin_id <> 0 GROUP BY 2")
+def forwarded_progress(spark, d):
+    none = spark.createDataFrame([], "node_id bigint, remote_node_id bigint, remote_commit_lsn bigint, remote_commit_ts timestamp_ntz")
+    return control.forwarded(none, _ch(spark, d), 7)
+
+
+@query(f"WITH {_RECORDS_SQL} SELECT * FROM p")
+def progress_saved(spark, d):
+    """Progress written to files in two versions, read back and merged."""
+    folder = _scratch(spark)
+    r = _records(spark, d)
+    for part in ("arrival <= 500", "arrival > 500"):
+        progress_files.dump(monitor.progress(r.where(part)), folder)
+    return progress_files.load(spark, folder, 1).drop("prev_remote_ts", "updated_by_decode")
+
+
+@query("SELECT 's1' AS sub_name, 'public' AS nsp, n_name AS rel, CASE WHEN n_name = 'FRANCE' OR n_nationkey % 2 = 1 THEN 'init' ELSE 'ready' END AS status FROM nation WHERE n_nationkey % 5 <> 0")
+def resync_states(spark, d):
+    """One table copied again; then all: new ones start, those that the provider no longer sends lose their state."""
+    n = _read(spark, d, "nation").select(F.lit("s1").alias("sub_name"), F.lit("public").alias("nsp"), F.col("n_name").alias("rel"), F.lit("ready").alias("status"), F.lit(1).cast("bigint").alias("status_lsn"), "n_nationkey")
+    there = control.resynced(n.where("n_nationkey % 2 = 0").drop("n_nationkey"), "s1", "public", "FRANCE")
+    return control.all_synced(there, "s1", n.where("n_nationkey % 5 <> 0").select("nsp", "rel")).drop("status_lsn")
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def resync_copy(spark, d):
+    snapshot = _read(spark, d, "customer").select("c_custkey", "c_name")
+    return control.copied_again(snapshot.select(F.col("c_custkey") + 1, F.lit("stale").alias("c_name")).toDF("c_custkey", "c_name"), snapshot, ["c_custkey"])
+
+
+@query("SELECT o_custkey, o_orderstatus FROM orders EXCEPT ALL SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0")
+def keyless_delete(spark, d):
+    o = _read(spark, d, "orders")
+    return resolve.without(o.select("o_custkey", "o_orderstatus"), o.where("o_orderkey % 3 = 0"))
+
+
+@query(_CH + "SELECT key % 4 AS subid, count(*) FILTER (op = 'I') AS n_tup_ins, count(*) FILTER (op = 'U') AS n_tup_upd, count(*) FILTER (op = 'D') AS n_tup_del FROM ch WHERE key % 4 <> 1 OR commit_lsn > 100 GROUP BY 1")
+def stats_since_reset(spark, d):
+    c = _ch(spark, d).withColumn("subid", F.col("key") % 4)
+    resets = spark.range(1).select(F.lit(1).cast("bigint").alias("subid"), F.lit(100).alias("reset_lsn"))
+    return monitor.counters(control.since_reset(c, resets), ["subid"]).select("subid", *monitor.COUNTERS[:3])
+
+
+@query("SELECT 'default' AS set_name, n_name AS rel, 'table' AS kind FROM nation UNION SELECT 'default', r_name, 'sequence' FROM region")
+def set_members(spark, d):
+    n, r = _read(spark, d, "nation").select(F.lit("default").alias("set_name"), F.col("n_name").alias("rel")), _read(spark, d, "region").select(F.lit("default").alias("set_name"), F.col("r_name").alias("seq"))
+    return verify.members(n.unionByName(n), r)
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS text FROM nation GROUP BY 1")
+def ordered_lists(spark, d):
+    return verify.listed(_read(spark, d, "nation"), ["n_regionkey"], "n_name", "n_nationkey").drop("names")
+
+
+@query("SELECT c_custkey, round(c_acctbal + coalesce(s, 0), 2) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, sum(CASE WHEN o_totalprice > 1000 THEN 1000 ELSE o_totalprice END) AS s FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def delta_own_merge(spark, d):
+    """A column that merges by a function of its own: no change adds more than 1000."""
+    own = delta.Registry()
+    own.register("customer", "c_acctbal", lambda old, new, local: local + F.least(new - old, F.lit(1000.0)))
+    image = lambda v: F.struct(v.cast("double").alias("c_acctbal"))
+    c = _read(spark, d, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("commit_lsn"), F.lit(0).alias("seq"), F.lit("1990-01-01").cast("timestamp_ntz").alias("commit_ts"), F.lit(2).alias("origin_id"), F.lit("U").alias("op"),
+        image(F.col("o_totalprice")).alias("new"), image(F.lit(0.0)).alias("old"), F.lit(None).cast("array<string>").alias("changed"))
+    state = _read(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"), F.lit("2000-01-01").cast("timestamp_ntz").alias("_ts"), F.lit(0).alias("_origin"))
+    known = c.join(state.select("c_custkey"), "c_custkey", "left_semi")
+    return apply.applied(known, state, ["c_custkey"], ["c_acctbal"], own.of("customer", {"c_acctbal": "double"}))[0].select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+@query(_CH + "SELECT commit_lsn, op, CASE WHEN op <> 'D' THEN upper(event_type) END AS event_type FROM ch WHERE op = 'D' OR coalesce(value > 50, false)")
+def subscriber_filter(spark, d):
+    """What the applying side lets in and changes by its own rules."""
+    c = _envelope(_ch(spark, d))
+    return apply.admitted(c, ["value > 50"], _ROW, {"event_type": F.upper("event_type")}).select("commit_lsn", "op", "new.event_type")
