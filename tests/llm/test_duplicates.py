@@ -193,16 +193,23 @@ def test_passages_of_nothing(docs_of):
     assert substrings.cleaned(twice).count() == 2
 
 
-def test_index_counts_occurrences():
-    r = np.random.default_rng(0)
-    text = np.append(r.integers(1, 5, 400), 0)
+@pytest.mark.parametrize("text", [np.random.default_rng(0).integers(1, 5, 400), np.tile([1, 2, 3], 130), np.ones(65, int)], ids=["mixed", "periodic", "one"])
+def test_index_finds_all_occurrences(text):
+    text, n = np.append(text, 0), len(text)
     index = substrings.FmIndex(text)
+    assert sorted(index.locate(np.arange(n + 1))) == list(range(n + 1)) and len(index.places) <= n // substrings.SAMPLE + 1
     for size in (2, 5, 9):
-        starts = np.arange(0, 400 - size)
-        lo, hi = index.search(text, starts, size)
+        starts = np.arange(0, n - size)
+        length, lo, hi = index.matching(text, starts, size)
         for s in starts[::7]:
-            n = sum((text[s : s + size] == text[i : i + size]).all() for i in range(400 - size + 1))
-            assert hi[s] - lo[s] == (n if n > 1 else hi[s] - lo[s]) and (n == 1) == (hi[s] - lo[s] <= 1)
+            # The longest suffix of the window that occurs more than once, and where it does.
+            want, places = 0, []
+            for k in range(1, size + 1):
+                part = text[s + size - k : s + size]
+                found = [i for i in range(n - k + 1) if (part == text[i : i + k]).all()]
+                if len(found) > 1:
+                    want, places = k, found
+            assert length[s] == want and sorted(index.locate(np.arange(lo[s], hi[s]))) == places
 
 
 def vectors(spark, rows):

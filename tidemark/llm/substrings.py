@@ -1,8 +1,8 @@
 """Removal of repeated passages: every word under a window of WINDOW words that also starts earlier goes.
 
-Windows are judged by an FM-index per shard: backward search over a wavelet tree gives, for each window of the
-streamed stretches, the interval of its occurrences in the index, and the smallest place in the interval tells
-whether the window starts earlier.
+Windows are judged by a compressed FM-index per shard: backward search over a wavelet tree gives the matching statistics
+of the streamed stretches, as far as WINDOW; where they reach it, the interval tells the window's occurrences, whose
+places come from a sample, and the smallest one tells whether the window starts earlier.
 
 What a shard holds is chosen by content, so that a window needs one shard and not all: the smallest hash of the
 runs of GRAM words in a window is its anchor; equal windows have equal anchors. Neighbouring windows with the anchor
@@ -36,8 +36,8 @@ from .words import mix, word_hashes
 WINDOW, GRAM, HOT, SHARD_WORDS = 20, 8, 20_000, 400_000
 #: Anchors that are split; stretches a task remembers to know copies by.
 MAX_HOT, REMEMBERED = 100_000, 300_000
-#: Suffixes are sorted by so many words, which is exact for patterns of up to one word less.
-DEPTH = 32
+#: One suffix in so many has its place in the index.
+SAMPLE = 4
 _WORD = re.compile(r"[^ \t-\r]+")
 _BASE = np.uint64(0xD1342543DE82EF95)
 
@@ -46,25 +46,44 @@ def _hashes(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "replace"))
 
 
+class Bits:
+    """A row of bits that tells how many ones stand before a place."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words = np.packbits(np.concatenate([bits, np.zeros(64 - len(bits) % 64, bool)]), bitorder="little").view(np.uint64)
+        self.counts = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)[:-1]]).astype(np.int32)
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    def ones(self, i: np.ndarray) -> np.ndarray:
+        word, bit = i >> 6, (i & 63).astype(np.uint64)
+        return self.counts[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+
+
 class FmIndex:
-    """Backward search for patterns of up to DEPTH - 1 symbols in a text of small whole numbers."""
+    """Backward search in a text of small whole numbers, the last of which is smaller than all others.
+
+    What stays in memory is the wavelet tree of the transformed text and the place of each SAMPLE-th suffix; other places
+    are found by stepping back to a sampled one.
+    """
 
     def __init__(self, text: np.ndarray):
         n, rank, k = len(text), text.astype(np.int64), 1
-        while k < DEPTH:
+        order = np.argsort(rank, kind="stable")
+        while k < n and (k == 1 or int(rank[order[-1]]) < n - 1):
             pair = rank * (int(rank.max()) + 1) + np.roll(rank, -k)
             order = np.argsort(pair)
             rank = np.empty(n, np.int64)
             rank[order] = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
             k *= 2
-        self.places = order  # of the sorted suffixes
+        sampled = order % SAMPLE == 0
+        self.marks, self.places = Bits(sampled), order[sampled].astype(np.int32)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(text))])  # symbols smaller than each
         row, self.levels = text[order - 1].astype(np.int64), []
         for level in reversed(range(max(1, int(text.max()).bit_length()))):
             bits = (row >> level) & 1 == 1
-            packed = np.packbits(np.concatenate([bits, np.zeros(64 - n % 64, bool)]), bitorder="little").view(np.uint64)
-            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)[:-1]]).astype(np.int32)
-            self.levels.append((level, packed, counts, n - int(bits.sum())))
+            self.levels.append((level, Bits(bits), n - int(bits.sum())))
             row = np.concatenate([row[~bits], row[bits]])
         starts = np.zeros(len(self.below), np.int64)
         firsts = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
@@ -73,32 +92,56 @@ class FmIndex:
 
     def count(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each symbol stands before place i of the transformed text."""
-        for level, packed, counts, zeros in self.levels:
-            word, bit = i >> 6, (i & 63).astype(np.uint64)
-            ones = counts[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+        for level, bits, zeros in self.levels:
+            ones = bits.ones(i)
             i = np.where((symbol >> level) & 1 == 1, zeros + ones, i - ones)
         return i - self.starts[symbol]
 
-    def search(self, text: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The intervals of text[s : s + size] for each start; as soon as one has a single occurrence it is left, as (0, 0)."""
+    def back(self, row: np.ndarray) -> np.ndarray:
+        """The rows of the suffixes that start one symbol earlier."""
+        symbol, i = np.zeros(len(row), np.int64), row
+        for level, bits, zeros in self.levels:
+            one, ones = bits.at(i), bits.ones(i)
+            symbol |= one.astype(np.int64) << level
+            i = np.where(one, zeros + ones, i - ones)
+        return self.below[symbol] + i - self.starts[symbol]
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Where in the text the suffixes of these rows start."""
+        out, left, row = np.zeros(len(rows), np.int64), np.arange(len(rows)), rows
+        for steps in range(SAMPLE):
+            here = self.marks.at(row)
+            out[left[here]] = self.places[self.marks.ones(row[here])] + steps
+            left, row = left[~here], row[~here]
+            if not len(left):
+                break
+            row = self.back(row)
+        return out
+
+    def matching(self, text: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each start, how many of the last symbols of text[s : s + size] occur more than once in a row, and the interval
+        of their suffixes. A search ends as soon as one occurrence is left, so lengths below `size` cost no more than they tell.
+        """
         lo, hi = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        alive, last = np.arange(len(starts)), text[starts + size - 1]
+        length, alive, last = np.zeros(len(starts), np.int64), np.arange(len(starts)), text[starts + size - 1]
         a, b = self.below[last], self.below[last + 1]
-        for step in range(2, size + 1):
+        for step in range(1, size + 1):
             more = b - a > 1
             alive, a, b = alive[more], a[more], b[more]
-            symbol = text[starts[alive] + size - step]
-            a, b = self.below[symbol] + self.count(symbol, a), self.below[symbol] + self.count(symbol, b)
-        lo[alive], hi[alive] = a, b
-        return lo, hi
+            lo[alive], hi[alive], length[alive] = a, b, step
+            if step < size:
+                symbol = text[starts[alive] + size - step - 1]
+                a, b = self.below[symbol] + self.count(symbol, a), self.below[symbol] + self.count(symbol, b)
+        return length, lo, hi
 
 
 def repeated(docs: np.ndarray, starts: np.ndarray, stretches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of stretches of words, given by document and first place: which words, as (doc, from, to), lie under a window that starts earlier in one of them."""
     lengths = np.array([len(s) for s in stretches])
-    words = np.unique(np.concatenate(stretches), return_inverse=True)[1] + 1
-    # A zero after each stretch, which no window holds.
-    text = np.zeros(lengths.sum() + len(lengths), np.int64)
+    words = np.unique(np.concatenate(stretches), return_inverse=True)[1] + 2
+    # A one after each stretch, which no window holds; a zero at the very end.
+    text = np.ones(lengths.sum() + len(lengths), np.int64)
+    text[-1] = 0
     heads = np.cumsum(lengths + 1) - lengths - 1
     inside = np.ones(len(text), bool)
     inside[heads + lengths] = False
@@ -108,16 +151,16 @@ def repeated(docs: np.ndarray, starts: np.ndarray, stretches: list[np.ndarray])
     rank = (np.unique(docs, return_inverse=True)[1][owner].astype(np.int64) << 32) + place
     index = FmIndex(text)
     windows = np.concatenate([np.arange(h, h + n - WINDOW + 1) for h, n in zip(heads, lengths, strict=True)])
-    lo, hi = index.search(text, windows, WINDOW)
-    found = np.flatnonzero(hi - lo > 1)
+    length, lo, hi = index.matching(text, windows, WINDOW)
+    found = np.flatnonzero(length == WINDOW)
     if not len(found):
         none = np.zeros(0, np.int64)
         return none, none, none
     at, which = np.unique(lo[found], return_inverse=True)
-    ends = np.zeros(len(at), np.int64)
-    ends[which] = hi[found]
-    ranks = np.append(rank[index.places], np.iinfo(np.int64).max)
-    least = np.minimum.reduceat(ranks, np.column_stack([at, ends]).ravel())[::2]
+    sizes = np.zeros(len(at), np.int64)
+    sizes[which] = (hi - lo)[found]
+    firsts = np.cumsum(sizes) - sizes
+    least = np.minimum.reduceat(rank[index.locate(np.arange(sizes.sum()) + np.repeat(at - firsts, sizes))], firsts)
     late = windows[found[least[which] < rank[windows[found]]]]
     if not len(late):
         return late, late, late
