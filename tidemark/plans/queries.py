@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import delta, lsn, names, rendering
-from tidemark.operators import apply, control, errors, monitor, publish, records, resolve, sync, verify
+from tidemark.operators import apply, control, errors, keyless, monitor, publish, records, resolve, sync, verify
 from tidemark.operators.catalog import Catalog
 from tidemark.sources import changes as ch
 from tidemark.sources import progress as progress_files
@@ -429,6 +429,30 @@ def apply_exceptions(spark, d):
 # Streams
 
 
+# A table of customer numbers without a key: orders add a copy, take one, or turn one into the negative of their own number.
+_COPIES = """WITH RECURSIVE o AS (SELECT o_custkey AS v, o_orderkey AS p, CASE o_orderkey % 4 WHEN 0 THEN 'D' WHEN 3 THEN 'I' ELSE 'U' END AS op, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+s AS (SELECT v, sum(n)::BIGINT AS n FROM (SELECT c_custkey AS v, 1 AS n FROM customer UNION ALL SELECT DISTINCT o_custkey, 0 FROM orders) GROUP BY v),
+r(v, i, p, op, n, missing) AS (SELECT v, 0::BIGINT, NULL::BIGINT, '', n, false FROM s
+UNION ALL SELECT o.v, o.i, o.p, o.op, CASE WHEN o.op = 'I' THEN n + 1 ELSE greatest(n - 1, 0) END, o.op <> 'I' AND n = 0 FROM r JOIN o ON o.v = r.v AND o.i = r.i + 1)"""
+
+
+def _copies(spark, d) -> tuple[DataFrame, DataFrame]:
+    op, row = F.when(F.col("o_orderkey") % 4 == 0, "D").when(F.col("o_orderkey") % 4 == 3, "I").otherwise("U"), F.struct(F.col("o_custkey").cast("bigint").alias("v"))
+    new = F.when(op == "I", row).when(op == "U", F.struct((-F.col("o_orderkey")).cast("bigint").alias("v")))
+    changes = _read(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("commit_lsn"), F.lit(0).alias("seq"), op.alias("op"), F.when(op != "I", row).alias("old"), new.alias("new"))
+    return keyless.applied(_read(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("v")), changes, ["v"])
+
+
+@query(f"{_COPIES} SELECT v::BIGINT AS v, n FROM (SELECT v, arg_max(n, i) AS n FROM r GROUP BY v) WHERE n > 0 UNION ALL SELECT (-p)::BIGINT, 1 FROM r WHERE op = 'U' AND NOT missing")
+def keyless_apply(spark, d):
+    return _copies(spark, d)[0].groupBy("v").agg(F.count("*").alias("n"))
+
+
+@query(f"{_COPIES} SELECT p::BIGINT AS commit_lsn, op FROM r WHERE missing")
+def keyless_missing(spark, d):
+    return _copies(spark, d)[1].select("commit_lsn", "op")
+
+
 def _scratch(spark) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
 
